@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions import mean, percent
+from ordersight.operators.branches import for_branches
 
 FACTS = ("revenue", "orders", "avg_order_value", "active_customers")
 
@@ -76,7 +77,7 @@ def spikes(
     The change looks at the previous *active* day; detail rows come from the day itself and
     the *calendar* day before it. ``k`` keeps only days whose dense rank is at most k.
     """
-    per_detail = (
+    per_detail = for_branches(
         facts.filter(F.col(day).isNotNull())
         .groupBy(day, detail)
         .agg(F.count(order).alias("order_volume"), F.sum(amount).alias("detail_revenue"))

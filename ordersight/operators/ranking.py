@@ -15,7 +15,8 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.session import ensure_checkpoint_dir
+from ordersight.operators.branches import for_branches
+from ordersight.session import stored
 
 Ties = Literal["none", "rank", "dense"]
 
@@ -87,7 +88,7 @@ def top_k(
     tie_break: Sequence[str] = (),
     name: str = "rnk",
 ) -> DataFrame:
-    """The ``k`` best rows by one column, over all rows or within groups.
+    """The ``k`` best rows of an aggregate by one column, over all rows or within groups.
 
     ``ties='none'`` cuts at exactly ``k`` rows in the order ``by, *tie_break`` and adds no
     column; ``'rank'`` and ``'dense'`` keep every row whose rank is at most ``k``.
@@ -98,10 +99,11 @@ def top_k(
             return df.orderBy(*order).limit(k)
         place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
         return df.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+    rows = for_branches(df)
     ranks = rank_table(
-        df, by, k, ties=ties, within=within, descending=descending, nulls=nulls, name=name
+        rows, by, k, ties=ties, within=within, descending=descending, nulls=nulls, name=name
     )
-    return join_ranks(df, ranks, by, within=within, name=name)
+    return join_ranks(rows, ranks, by, within=within, name=name)
 
 
 def global_rank(
@@ -115,17 +117,15 @@ def global_rank(
     """Every row with its rank over the whole frame, without a single-task window.
 
     Distinct values are range-partitioned and numbered inside their partition; the offset of
-    a partition is the row count of those before it. The partitioned values are checkpointed
+    a partition is the row count of those before it. The partitioned values are stored
     because partition numbers must not change between the two reads.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     order = sort_order(by, descending, nulls)
-    values = (
+    values = stored(
         df.groupBy(by)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .repartitionByRange(order)
         .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
     )
     # One row per partition, so this window is as small as the partition count.
     sizes = values.groupBy("_part").agg(F.sum("_rows").alias("_size"))

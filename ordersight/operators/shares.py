@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions import exact_ratio, percent
+from ordersight.operators.branches import for_branches
 
 
 def with_total(df: DataFrame, *totals: Column) -> DataFrame:
-    """Every row of ``df`` beside global aggregates of ``df`` (alias each of them)."""
-    return df.crossJoin(F.broadcast(df.agg(*totals)))
+    """Every row of an aggregate beside global aggregates of it (alias each of them)."""
+    rows = for_branches(df)
+    return rows.crossJoin(F.broadcast(rows.agg(*totals)))
 
 
 def share_of_total(df: DataFrame, value: str, name: str, places: int = 2) -> DataFrame:

@@ -36,6 +36,7 @@ from ordersight.plans.common import (
     ratings_by,
     restaurant_names,
 )
+from ordersight.session import stored
 from ordersight.sources.tables import Tables
 
 
@@ -206,7 +207,8 @@ def slowest_orders(t: Tables, k: int = 10, nulls: str | None = None) -> DataFram
 
     Orders without minutes rank first unless ``nulls='last'``. The rank counts attempts, so
     it is found from one count per order; only orders at the ranked minutes then meet their
-    attempts.
+    attempts. Those rows are stored, as four branches read them; counting by aggregate and
+    join rather than by window keeps a city of many ties out of a single task.
     """
     attempts = delivered_attempts(t.deliveries)
     restaurants = t.restaurants.select("restaurant_id", "restaurant_name", "city_key")
@@ -221,8 +223,10 @@ def slowest_orders(t: Tables, k: int = 10, nulls: str | None = None) -> DataFram
     ranks = rank_table(
         weighted, "delivery_time_minutes", k, nulls=nulls, weight="attempts"
     )
-    slow = join_ranks(orders, ranks, "delivery_time_minutes").join(
-        attempts.select("order_id", "agent_id"), "order_id"
+    slow = stored(
+        join_ranks(orders, ranks, "delivery_time_minutes").join(
+            attempts.select("order_id", "agent_id"), "order_id"
+        )
     )
     out = slow
     for key, name in (
