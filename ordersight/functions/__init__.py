@@ -1,7 +1,14 @@
 """Column expressions: text keys, dates and exact rounding. All run inside the JVM."""
 
 from ordersight.functions.dates import is_weekend, month_of, parse_iso_date, parse_mixed_date
-from ordersight.functions.numbers import exact_ratio, mean, percent, sample_variance, variance
+from ordersight.functions.numbers import (
+    exact_ratio,
+    mean,
+    per_count,
+    percent,
+    sample_variance,
+    variance,
+)
 from ordersight.functions.text import bucketize, impute, normalize_key, title_key
 
 __all__ = [
@@ -14,6 +21,7 @@ __all__ = [
     "normalize_key",
     "parse_iso_date",
     "parse_mixed_date",
+    "per_count",
     "percent",
     "sample_variance",
     "title_key",

@@ -1,7 +1,6 @@
-"""Exact ratios of aggregates.
+"""Ratios of aggregates, rounded half away from zero on decimals, never on doubles.
 
-Rounding is half away from zero and is done on whole decimals, never on doubles, so a tie
-rounds the same way at any data size and in any order of aggregation.
+A tie therefore rounds the same way at any data size and in any order of aggregation.
 """
 
 from decimal import Decimal
@@ -11,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def exact_ratio(numerator: Column, denominator: Column, places: int) -> Column:
-    """``numerator / denominator`` rounded to ``places``; NULL when the denominator is 0 or NULL."""
+    """``numerator / denominator`` rounded to ``places``; NULL when the denominator is 0 or NULL.
+
+    Both may be sums of money with two decimals. The rounding is whole-number division, so
+    it is exact for denominators of any size.
+    """
     num = numerator.cast("decimal(38,2)")
     den = F.nullif(denominator.cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)"))
     doubled = F.abs(num) * F.lit(2 * 10**places) + F.abs(den)
@@ -28,9 +31,20 @@ def percent(part: Column, whole: Column, places: int = 2) -> Column:
     return exact_ratio(part.cast("decimal(36,2)") * F.lit(100), whole, places)
 
 
+def per_count(total: Column, count: Column, places: int) -> Column:
+    """``total`` for each of ``count`` rows, rounded; NULL for no rows.
+
+    The decimal quotient keeps 16 places. A quotient that is no tie is further than that from
+    one for fewer than 10**14 rows, so rounding it again is exact, and cheaper than
+    ``exact_ratio``.
+    """
+    rows = F.nullif(count.cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
+    return F.round(total.cast("decimal(24,2)") / rows, places)
+
+
 def mean(value: Column, places: int) -> Column:
     """Aggregate: rounded average that skips NULL."""
-    return exact_ratio(F.sum(value), F.count(value), places)
+    return per_count(F.sum(value), F.count(value), places)
 
 
 def _spread(count: Column, total: Column, squares: Column) -> Column:

@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions import bucketize, exact_ratio, percent
+from ordersight.functions import bucketize, per_count, percent
 from ordersight.operators.shares import share_of_total, with_total
 
 
@@ -117,5 +117,5 @@ def average_of(df: DataFrame, column: str, name: str, places: int = 2) -> DataFr
     """One row: how many values there are and their rounded average."""
     return df.agg(
         F.count(column).alias(f"{name}_count"),
-        exact_ratio(F.sum(column), F.count(column), places).alias(name),
+        per_count(F.sum(column), F.count(column), places).alias(name),
     )

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions import exact_ratio, percent
+from ordersight.functions import per_count, percent
 from ordersight.operators.branches import for_branches
 
 
@@ -49,5 +49,5 @@ def conditional_rate(
     if fraction_places is None:
         value = percent(F.col(matches), F.col(total), places)
     else:
-        value = exact_ratio(F.col(matches), F.col(total), fraction_places) * F.lit(100)
+        value = per_count(F.col(matches), F.col(total), fraction_places) * F.lit(100)
     return counts.withColumn(rate, value)

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions import exact_ratio, percent
+from ordersight.functions import per_count, percent
 from ordersight.operators import period_growth, period_kpis, with_previous, with_total
 from ordersight.plans.common import attempt_weight, delivered, ratings_by
 from ordersight.sources.tables import Tables
@@ -72,7 +72,7 @@ def city_frequency(t: Tables, city: str = "chennai") -> DataFrame:
     )
     return _by_month(
         monthly.withColumn(
-            "orders_per_customer", exact_ratio(F.col("orders"), F.col("active_customers"), 2)
+            "orders_per_customer", per_count(F.col("orders"), F.col("active_customers"), 2)
         )
     )
 
@@ -122,7 +122,7 @@ def churn_vs_service(
     )
 
     def average(name: str):
-        return exact_ratio(F.sum(name), F.sum(f"{name}_rows"), 2)
+        return per_count(F.sum(name), F.sum(f"{name}_rows"), 2)
 
     status = F.when(F.col("_last"), "retained").otherwise("churned")
     return (

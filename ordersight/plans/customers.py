@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ordersight.functions import (
     bucketize,
-    exact_ratio,
     month_of,
     normalize_key,
+    per_count,
     percent,
 )
 from ordersight.operators import (
@@ -83,7 +83,7 @@ def _order_counts(t: Tables) -> DataFrame:
 
 def cancel_rate(t: Tables) -> DataFrame:
     """Cancelled share per customer: the fraction is rounded to 2 places, then made a percentage."""
-    fraction = exact_ratio(F.col("cancelled_orders"), F.col("total_orders"), 2)
+    fraction = per_count(F.col("cancelled_orders"), F.col("total_orders"), 2)
     return _order_counts(t).withColumn("cancellation_rate_pct", fraction * 100)
 
 
@@ -141,7 +141,7 @@ def signup_cohorts(t: Tables) -> DataFrame:
     ).select(
         "signup_year",
         F.col("revenue").alias("cohort_revenue"),
-        exact_ratio(F.col("revenue"), F.col("priced_orders"), 2).alias("avg_order_value"),
+        per_count(F.col("revenue"), F.col("priced_orders"), 2).alias("avg_order_value"),
         F.col("orders").alias("cohort_orders"),
         "order_volume_pct",
         "revenue_pct",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ordersight.functions import (
     bucketize,
-    exact_ratio,
     mean,
     normalize_key,
+    per_count,
     percent,
     sample_variance,
     variance,
@@ -78,7 +78,7 @@ def agent_average_rating(t: Tables) -> DataFrame:
     return ratings.select(
         "agent_id",
         "agent_name",
-        exact_ratio(F.col("rating_sum"), F.col("rated"), 1).alias("avg_rating"),
+        per_count(F.col("rating_sum"), F.col("rated"), 1).alias("avg_rating"),
     ).orderBy(F.col("avg_rating").desc_nulls_first(), "agent_id")
 
 
@@ -142,7 +142,7 @@ def slowest_category(t: Tables) -> DataFrame:
         per_restaurant.join(categories, "restaurant_id", "left")
         .groupBy("category")
         .agg(
-            exact_ratio(F.sum("_minutes"), F.sum("_timed"), 2).alias("avg_delivery_minutes")
+            per_count(F.sum("_minutes"), F.sum("_timed"), 2).alias("avg_delivery_minutes")
         )
     )
     return top_k(by_category, "avg_delivery_minutes", 1)
@@ -161,7 +161,7 @@ def best_agent_per_city(
         "agent_id",
         "agent_name",
         F.col(city).alias("city"),
-        exact_ratio(F.col("rating_sum"), F.col("rated"), 2).alias("avg_rating"),
+        per_count(F.col("rating_sum"), F.col("rated"), 2).alias("avg_rating"),
     )
     return top_k(averages, "avg_rating", 1, within=["city"], nulls=nulls)
 
@@ -196,7 +196,7 @@ def unrated_by_agent(t: Tables) -> DataFrame:
     return ratings.filter(unrated > 0).select(
         "agent_id",
         "agent_name",
-        exact_ratio(F.col("rating_sum"), F.col("rated"), 2).alias("avg_rating"),
+        per_count(F.col("rating_sum"), F.col("rated"), 2).alias("avg_rating"),
         unrated.alias("unrated_deliveries"),
         percent(unrated, F.col("attempts")).alias("unrated_pct"),
     )
@@ -273,7 +273,7 @@ def load_vs_rating(t: Tables) -> DataFrame:
         .groupBy("agent_id")
         .agg(
             F.sum("_deliveries").alias("delivery_count"),
-            exact_ratio(F.sum("_rating_sum"), F.sum("_rated"), 2).alias("avg_rating"),
+            per_count(F.sum("_rating_sum"), F.sum("_rated"), 2).alias("avg_rating"),
         )
         .orderBy(F.col("avg_rating").desc_nulls_last(), "agent_id")
     )
@@ -339,7 +339,7 @@ def rating_by_speed(t: Tables) -> DataFrame:
         .select("order_id", bucket.alias("speed_bucket"))
         .join(ratings, "order_id", "left")
         .groupBy("speed_bucket")
-        .agg(exact_ratio(F.sum("rating_sum"), F.sum("rated"), 2).alias("avg_rating"))
+        .agg(per_count(F.sum("rating_sum"), F.sum("rated"), 2).alias("avg_rating"))
         .orderBy(F.col("avg_rating").desc_nulls_first(), "speed_bucket")
     )
 
@@ -367,12 +367,12 @@ def restaurant_efficiency(t: Tables, grain: str = "delivery") -> DataFrame:
         .agg(
             F.sum("_delivered").alias("delivered_count"),
             F.sum("_all").alias("total_count"),
-            exact_ratio(F.sum("_rating_sum"), F.sum("_rated"), 2).alias("avg_rating"),
+            per_count(F.sum("_rating_sum"), F.sum("_rated"), 2).alias("avg_rating"),
         )
     )
     return scored.withColumn(
         "efficiency_score",
-        exact_ratio(
+        per_count(
             F.col("delivered_count").cast("decimal(20,0)") * F.col("avg_rating").cast("decimal(10,2)"),
             F.col("total_count"),
             2,
@@ -401,7 +401,7 @@ def agent_leaderboard(
             F.count_distinct(F.when(F.col("_known"), F.col("order_id"))).alias("order_volume"),
             *rating_spread("delivery_rating"),
         )
-        .withColumn("avg_rating", exact_ratio(F.col("rating_sum"), F.col("rated"), 2))
+        .withColumn("avg_rating", per_count(F.col("rating_sum"), F.col("rated"), 2))
         .withColumn(
             "_variance",
             variance(F.col("rated"), F.col("rating_sum"), F.col("rating_squares")),
@@ -420,8 +420,8 @@ def agent_leaderboard(
         "order_volume",
         "avg_rating",
         F.round(F.col("_variance").cast("decimal(20,12)"), 3).alias("rating_variance"),
-        exact_ratio(F.col("avg_rating"), F.lit(5), 3).alias("quality_score"),
-        exact_ratio(F.col("order_volume"), F.col("_top_volume"), 3).alias("volume_score"),
+        per_count(F.col("avg_rating"), F.lit(5), 3).alias("quality_score"),
+        per_count(F.col("order_volume"), F.col("_top_volume"), 3).alias("volume_score"),
         F.round(steadiness.cast("decimal(20,12)"), 3).alias("consistency_score"),
     ).withColumn("agent_score", weighted_score(weights, 3))
     return scored.orderBy(*keys, F.col("agent_score").desc_nulls_first(), "agent_id")
@@ -458,8 +458,8 @@ def city_restaurant_pivot(
     return (
         distinct_orders.groupBy("restaurant_id", "restaurant_name")
         .agg(
-            exact_ratio(F.sum("rating_sum"), F.sum("rated"), 2).alias("avg_rating"),
-            exact_ratio(F.sum("_minutes"), F.sum("_timed"), 2).alias("avg_delivery_minutes"),
+            per_count(F.sum("rating_sum"), F.sum("rated"), 2).alias("avg_rating"),
+            per_count(F.sum("_minutes"), F.sum("_timed"), 2).alias("avg_delivery_minutes"),
             *distinct_in_periods("order_month", dict(zip(names, months)), F.col("order_id")),
         )
         .orderBy("third_month_orders", "restaurant_id")

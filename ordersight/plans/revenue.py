@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions import exact_ratio, impute, is_weekend, percent, title_key
+from ordersight.functions import impute, is_weekend, mean, per_count, percent, title_key
 from ordersight.operators import (
     frequency_segments,
     global_rank,
@@ -97,7 +97,7 @@ def top_city_order_value(t: Tables) -> DataFrame:
         sales_by(delivered(t.orders), "customer_id").join(cities, "customer_id"), "city_key"
     ).select(
         "city_key",
-        exact_ratio(F.col("revenue"), F.col("priced_orders"), 2).alias("avg_order_value"),
+        per_count(F.col("revenue"), F.col("priced_orders"), 2).alias("avg_order_value"),
     )
     return top_k(by_city, "avg_order_value", 1)
 
@@ -110,9 +110,7 @@ def weekday_weekend(t: Tables) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("total_orders"),
             F.sum("order_amount").alias("total_revenue"),
-            exact_ratio(F.sum("order_amount"), F.count("order_amount"), 2).alias(
-                "avg_order_value"
-            ),
+            mean(F.col("order_amount"), 2).alias("avg_order_value"),
         )
     )
 

@@ -13,18 +13,22 @@ from ordersight.functions import month_of, normalize_key, parse_iso_date, parse_
 def clean_orders(orders: DataFrame) -> DataFrame:
     if "order_month" in orders.columns:
         return orders
-    return (
-        orders.withColumn("status_key", normalize_key(F.col("status")))
-        .withColumn("order_dt", parse_iso_date(F.col("order_date")))
-        .withColumn("order_month", month_of(F.col("order_dt")))
+    day = parse_iso_date(F.col("order_date"))
+    return orders.select(
+        "*",
+        normalize_key(F.col("status")).alias("status_key"),
+        day.alias("order_dt"),
+        month_of(day).alias("order_month"),
     )
 
 
 def clean_customers(customers: DataFrame) -> DataFrame:
     if "signup_dt" in customers.columns:
         return customers
-    return customers.withColumn("city_key", normalize_key(F.col("city"))).withColumn(
-        "signup_dt", parse_mixed_date(F.col("signup_date"))
+    return customers.select(
+        "*",
+        normalize_key(F.col("city")).alias("city_key"),
+        parse_mixed_date(F.col("signup_date")).alias("signup_dt"),
     )
 
 

@@ -6,11 +6,11 @@ amounts and ratings, orders of unknown restaurants, customers and restaurants wi
 orders, and several deliveries per order. FIXTURES.md lists what each rule is there for.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ordersight import schemas
 from ordersight.sources.tables import Tables
 
 BASE = {
@@ -25,114 +25,55 @@ BASE = {
     "l_quantity double, l_returnflag string, l_linestatus string",
 }
 
-
-def _remainder(name: str, divisor: int) -> Column:
-    return F.col(name) % F.lit(divisor)
-
-
-def _orders(base) -> DataFrame:
-    key = F.col("o_orderkey")
-    priority = F.col("o_orderpriority")
-    delivered_text = (
-        F.when(F.col("o_orderstatus") == "F", "Delivered")
-        .when(F.col("o_orderstatus") == "O", " delivered")
-        .when(_remainder("o_orderkey", 10) == 3, "delivered ")
-    )
-    moved = (_remainder("o_custkey", 17) == 5) & (priority != "1-URGENT")
-    return base("orders").select(
-        key.alias("order_id"),
-        F.when(moved, F.col("o_custkey") - 5).otherwise(F.col("o_custkey")).alias("customer_id"),
-        F.when(_remainder("o_orderkey", 97) == 13, F.lit(-1) - _remainder("o_orderkey", 3))
-        .when(priority.isin("1-URGENT", "2-HIGH"), F.col("o_custkey"))
-        .otherwise(F.call_function("div", key, F.lit(8)))
-        .alias("restaurant_id"),
-        F.col("o_orderdate").cast("date").cast("string").alias("order_date"),
-        F.when(_remainder("o_orderkey", 40) != 7, F.col("o_totalprice").cast(schemas.AMOUNT))
-        .alias("order_amount"),
-        F.coalesce(delivered_text, F.lit("CANCELLED")).alias("status"),
-        F.when(
-            delivered_text.isNotNull() & (_remainder("o_orderkey", 1000) != 501),
-            (F.lit(10) + (key * 7) % 80).cast("int"),
-        ).alias("delivery_time_minutes"),
-    )
-
-
-def _in_region(base, df: DataFrame, nation_key: str) -> DataFrame:
-    places = base("nation").join(
-        base("region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    return df.join(places, F.col(nation_key) == F.col("n_nationkey"))
-
-
-def _customers(base) -> DataFrame:
-    key = F.col("c_custkey")
-    year = (F.lit(2021) + key % 3).cast("string")
-    day = F.concat(F.lit("1"), (key % 10).cast("string"))
-    month = F.concat(F.lit("0"), (F.lit(1) + key % 9).cast("string"))
-    month_name = F.when(key % 3 == 0, "Jan").when(key % 3 == 1, "Feb").otherwise("Mar")
-    region = F.col("r_name")
-    return _in_region(base, base("customer"), "c_nationkey").select(
-        key.alias("customer_id"),
-        F.col("c_name").alias("customer_name"),
-        F.when(key % 50 == 49, F.lit(None))
-        .when((F.col("n_regionkey") == 4) & (key % 2 == 0), "Mideast")
-        .when(key % 3 == 0, F.lower(region))
-        .when(key % 3 == 1, F.concat(F.lit(" "), region, F.lit(" ")))
-        .otherwise(region)
-        .alias("city"),
-        F.when(key % 2 == 0, F.concat_ws("-", year, month, day))
-        .otherwise(F.concat_ws("-", day, month_name, year))
-        .alias("signup_date"),
-    )
-
-
-def _restaurants(base) -> DataFrame:
-    key = F.col("p_partkey")
-    region = F.col("r_name")
-    return (
-        base("part")
-        .join(base("region"), (key % 5).cast("int") == F.col("r_regionkey"))
-        .select(
-            key.alias("restaurant_id"),
-            F.concat(F.col("p_name"), F.lit(" #"), key.cast("string")).alias("restaurant_name"),
-            F.col("p_type").alias("category"),
-            F.when(key % 2 == 0, region)
-            .otherwise(F.concat(F.lower(region), F.lit(" ")))
-            .alias("city"),
-        )
-    )
-
-
-def _deliveries(base) -> DataFrame:
-    unrated = (_remainder("l_partkey", 11) == 0) | (_remainder("l_suppkey", 10) == 9)
-    return base("lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("delivery_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_suppkey").alias("agent_id"),
-        F.when(F.col("l_returnflag") == "R", "Failed ")
-        .when(F.col("l_linestatus") == "O", "DELIVERED")
-        .otherwise("delivered")
-        .alias("delivery_status"),
-        F.when(~unrated, (F.lit(1) + F.col("l_quantity").cast("int") % 5).cast("int"))
-        .alias("delivery_rating"),
-    )
-
-
-def _agents(base) -> DataFrame:
-    region = F.col("r_name")
-    return _in_region(base, base("supplier"), "s_nationkey").select(
-        F.col("s_suppkey").alias("agent_id"),
-        F.col("s_name").alias("agent_name"),
-        F.when(_remainder("s_suppkey", 2) == 0, region).otherwise(F.lower(region)).alias("city"),
-    )
-
-
-BUILDERS = {
-    "orders": _orders,
-    "customers": _customers,
-    "restaurants": _restaurants,
-    "deliveries": _deliveries,
-    "delivery_agents": _agents,
+SHAPES = {
+    "orders": [
+        "o_orderkey as order_id",
+        """case when o_custkey % 17 = 5 and o_orderpriority != '1-URGENT' then o_custkey - 5
+                else o_custkey end as customer_id""",
+        """case when o_orderkey % 97 = 13 then -1 - o_orderkey % 3
+                when o_orderpriority in ('1-URGENT', '2-HIGH') then o_custkey
+                else o_orderkey div 8 end as restaurant_id""",
+        "cast(cast(o_orderdate as date) as string) as order_date",
+        """if(o_orderkey % 40 = 7, null, cast(o_totalprice as decimal(12,2)))
+                as order_amount""",
+        """case o_orderstatus when 'F' then 'Delivered' when 'O' then ' delivered'
+                else if(o_orderkey % 10 = 3, 'delivered ', 'CANCELLED') end as status""",
+        """case when o_orderstatus = 'P' and o_orderkey % 10 != 3 then null
+                when o_orderkey % 1000 = 501 then null
+                else cast(10 + o_orderkey * 7 % 80 as int) end as delivery_time_minutes""",
+    ],
+    "customers": [
+        "c_custkey as customer_id",
+        "c_name as customer_name",
+        """case when c_custkey % 50 = 49 then null
+                when n_regionkey = 4 and c_custkey % 2 = 0 then 'Mideast'
+                when c_custkey % 3 = 0 then lower(r_name)
+                when c_custkey % 3 = 1 then concat(' ', r_name, ' ') else r_name end as city""",
+        """if(c_custkey % 2 = 0,
+                concat(2021 + c_custkey % 3, '-0', 1 + c_custkey % 9, '-1', c_custkey % 10),
+                concat('1', c_custkey % 10, '-', elt(1 + cast(c_custkey % 3 as int),
+                  'Jan', 'Feb', 'Mar'), '-', 2021 + c_custkey % 3)) as signup_date""",
+    ],
+    "restaurants": [
+        "p_partkey as restaurant_id",
+        "concat(p_name, ' #', p_partkey) as restaurant_name",
+        "p_type as category",
+        "if(p_partkey % 2 = 0, r_name, concat(lower(r_name), ' ')) as city",
+    ],
+    "deliveries": [
+        "l_orderkey * 10 + l_linenumber as delivery_id",
+        "l_orderkey as order_id",
+        "l_suppkey as agent_id",
+        """case when l_returnflag = 'R' then 'Failed ' when l_linestatus = 'O' then 'DELIVERED'
+                else 'delivered' end as delivery_status""",
+        """if(l_partkey % 11 = 0 or l_suppkey % 10 = 9, null,
+                1 + cast(l_quantity as int) % 5) as delivery_rating""",
+    ],
+    "delivery_agents": [
+        "s_suppkey as agent_id",
+        "s_name as agent_name",
+        "if(s_suppkey % 2 = 0, r_name, lower(r_name)) as city",
+    ],
 }
 
 
@@ -143,4 +84,20 @@ def star_tables(spark: SparkSession, directory: str) -> Tables:
         schema = T.StructType.fromDDL(BASE[name])
         return spark.read.schema(schema).parquet(f"{directory}/{name}.parquet")
 
-    return Tables(lambda name: BUILDERS[name](base))
+    def in_region(df: DataFrame, nation_key: str) -> DataFrame:
+        nations = base("nation").withColumnRenamed("n_nationkey", nation_key)
+        regions = base("region").withColumnRenamed("r_regionkey", "n_regionkey")
+        return df.join(nations, nation_key).join(regions, "n_regionkey")
+
+    def parts_in_region() -> DataFrame:
+        parts = base("part").selectExpr("*", "cast(p_partkey % 5 as int) as r_regionkey")
+        return parts.join(base("region"), "r_regionkey")
+
+    rows: dict[str, Callable[[], DataFrame]] = {
+        "orders": lambda: base("orders"),
+        "customers": lambda: in_region(base("customer"), "c_nationkey"),
+        "restaurants": parts_in_region,
+        "deliveries": lambda: base("lineitem"),
+        "delivery_agents": lambda: in_region(base("supplier"), "s_nationkey"),
+    }
+    return Tables(lambda name: rows[name]().selectExpr(*SHAPES[name]))
