@@ -4,12 +4,12 @@ A grand total is one aggregated row joined by broadcast: ``sum(..) over ()`` wou
 rows into one task.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions import per_count, percent
+from ordersight.functions import percent
 from ordersight.operators.branches import for_branches
 
 
@@ -29,25 +29,18 @@ def share_of_total(df: DataFrame, value: str, name: str, places: int = 2) -> Dat
 
 
 def conditional_rate(
-    df: DataFrame,
-    keys: Sequence[str],
-    condition: Column,
-    *,
-    matches: str = "matches",
-    total: str = "total",
-    rate: str = "rate_pct",
-    places: int = 2,
-    fraction_places: int | None = None,
+    df: DataFrame, keys: Sequence[str], conditions: Mapping[str, Column], places: int = 2
 ) -> DataFrame:
-    """Count rows meeting ``condition`` per key, and their percentage of all rows.
+    """Rows meeting each named condition per key, and their percentages of all rows of the key.
 
-    With ``fraction_places`` the fraction is rounded before it is scaled to percent.
+    Condition ``x`` gives the columns ``x_count`` and ``x_pct``.
     """
     counts = df.groupBy(*keys).agg(
-        F.count_if(condition).alias(matches), F.count(F.lit(1)).alias(total)
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(c).alias(f"{name}_count") for name, c in conditions.items()],
     )
-    if fraction_places is None:
-        value = percent(F.col(matches), F.col(total), places)
-    else:
-        value = per_count(F.col(matches), F.col(total), fraction_places) * F.lit(100)
-    return counts.withColumn(rate, value)
+    rates = [
+        percent(F.col(f"{name}_count"), F.col("_rows"), places).alias(f"{name}_pct")
+        for name in conditions
+    ]
+    return counts.select(*keys, *[f"{name}_count" for name in conditions], *rates)

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions import per_count, percent
-from ordersight.operators import period_growth, period_kpis, with_previous, with_total
+from ordersight.operators import (
+    period_growth,
+    period_kpis,
+    period_retention,
+    with_previous,
+    with_total,
+)
 from ordersight.plans.common import attempt_weight, delivered, ratings_by
 from ordersight.sources.tables import Tables
 
@@ -115,24 +121,16 @@ def churn_vs_service(
         .select("order_id", "customer_id", MONTH, "order_amount", "delivery_time_minutes")
         .join(ratings_by(t.deliveries, "order_id"), "order_id", "left")
     )
-    seen = facts.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        F.max(F.col(MONTH) == F.lit(first)).alias("_first"),
-        F.max(F.col(MONTH) == F.lit(last)).alias("_last"),
-        *[s.alias(n) for n, s in sums.items()],
-    )
+    known = facts.filter(F.col("customer_id").isNotNull())
+    seen = period_retention(known, "customer_id", MONTH, first, last, **sums)
 
     def average(name: str):
         return per_count(F.sum(name), F.sum(f"{name}_rows"), 2)
 
-    status = F.when(F.col("_last"), "retained").otherwise("churned")
-    return (
-        seen.filter("_first")
-        .groupBy(status.alias("customer_status"))
-        .agg(
-            average("_amount").alias("avg_order_value"),
-            average("_rating").alias("avg_rating"),
-            average("_minutes").alias("avg_delivery_minutes"),
-        )
+    return seen.groupBy(F.col("retention_status").alias("customer_status")).agg(
+        average("_amount").alias("avg_order_value"),
+        average("_rating").alias("avg_rating"),
+        average("_minutes").alias("avg_delivery_minutes"),
     )
 
 

@@ -16,6 +16,7 @@ from ordersight.functions import (
     variance,
 )
 from ordersight.operators import (
+    conditional_rate,
     distinct_in_periods,
     rank_table,
     rating_spread,
@@ -42,16 +43,9 @@ from ordersight.sources.tables import Tables
 
 def status_split(t: Tables) -> DataFrame:
     """Delivered and cancelled orders, and their percentages of all orders."""
-    counts = t.orders.agg(
-        F.count_if(F.col("status_key") == DELIVERED).alias("delivered_count"),
-        F.count_if(F.col("status_key") == CANCELLED).alias("cancelled_count"),
-        F.count(F.lit(1)).alias("_all"),
-    )
-    return counts.select(
-        "delivered_count",
-        "cancelled_count",
-        percent(F.col("delivered_count"), F.col("_all")).alias("delivered_pct"),
-        percent(F.col("cancelled_count"), F.col("_all")).alias("cancelled_pct"),
+    status = F.col("status_key")
+    return conditional_rate(
+        t.orders, [], {"delivered": status == DELIVERED, "cancelled": status == CANCELLED}
     )
 
 

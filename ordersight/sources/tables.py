@@ -18,28 +18,28 @@ class Tables:
 
     load: Callable[[str], DataFrame]
 
-    def _table(self, name: str) -> DataFrame:
+    def table(self, name: str) -> DataFrame:
         return CLEANERS[name](self.load(name))
 
     @property
     def orders(self) -> DataFrame:
-        return self._table("orders")
+        return self.table("orders")
 
     @property
     def customers(self) -> DataFrame:
-        return self._table("customers")
+        return self.table("customers")
 
     @property
     def restaurants(self) -> DataFrame:
-        return self._table("restaurants")
+        return self.table("restaurants")
 
     @property
     def deliveries(self) -> DataFrame:
-        return self._table("deliveries")
+        return self.table("deliveries")
 
     @property
     def agents(self) -> DataFrame:
-        return self._table("delivery_agents")
+        return self.table("delivery_agents")
 
     @classmethod
     def of(cls, **frames: DataFrame) -> "Tables":
@@ -79,7 +79,7 @@ def write_clean(tables: Tables, root: str, mode: str = "errorifexists") -> None:
     large for one task.
     """
     for name in NAMES:
-        frame = tables._table(name)
+        frame = tables.table(name)
         if name == "orders":
             frame.hint("rebalance", F.col("order_month")).write.mode(mode).partitionBy(
                 "order_month"

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from ordersight.operators import conditional_rate
 from ordersight.plans import audits, operations, revenue
 from small import tables, values
 
@@ -221,3 +224,15 @@ def test_slowest_category_weighs_orders_by_attempts(spark):
     places = [{"category": "Cafe"}, {"category": "Pizza"}]
     t = tables(spark, orders=orders, deliveries=deliveries, restaurants=places)
     assert values(operations.slowest_category(t)) == [("Cafe", 40.0, 1)]
+
+
+def test_status_split_counts_other_statuses_in_the_whole(spark):
+    statuses = ["Delivered", " delivered", "CANCELLED", "refunded", None]
+    t = tables(spark, orders=[{"status": s} for s in statuses])
+    assert values(operations.status_split(t)) == [(2, 1, 40.0, 20.0)]
+
+
+def test_conditional_rate_per_key(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("a", 6), ("b", 2)], "k string, v int")
+    rows = conditional_rate(df, ["k"], {"high": F.col("v") > 4})
+    assert sorted(values(rows)) == [("a", 2, 66.67), ("b", 0, 0.0)]

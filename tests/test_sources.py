@@ -24,10 +24,10 @@ def test_clean_layer_round_trip(spark, tmp_path):
     write_clean(t, str(tmp_path))
     stored = read_clean(spark, str(tmp_path))
     for name in schemas.CLEAN:
-        frame = stored._table(name)
+        frame = stored.table(name)
         assert set(frame.columns) == set(schemas.CLEAN[name].names)
         assert sorted(values(frame, *sorted(frame.columns)), key=str) == sorted(
-            values(t._table(name), *sorted(frame.columns)), key=str
+            values(t.table(name), *sorted(frame.columns)), key=str
         )
     assert values(business_review.monthly_kpis(stored)) == values(business_review.monthly_kpis(t))
 
@@ -68,7 +68,7 @@ def test_star_tables_use_every_base_row(spark):
         "delivery_agents": "supplier",
     }
     for name, base in pairs.items():
-        assert t._table(name).count() == spark.read.parquet(f"{SF}/{base}.parquet").count()
+        assert t.table(name).count() == spark.read.parquet(f"{SF}/{base}.parquet").count()
         kept = [f.dataType for f in t.load(name).schema.fields]
         assert kept == [f.dataType for f in schemas.RAW[name].fields]
 
