@@ -114,13 +114,15 @@ def global_rank(
     nulls: str | None = None,
     name: str = "rnk",
 ) -> DataFrame:
-    """Every row with its rank over the whole frame, without a single-task window.
+    """Every row of an aggregate with its rank over all rows, without a single-task window.
 
     Distinct values are range-partitioned and numbered inside their partition; the offset of
-    a partition is the row count of those before it. The partitioned values are stored
-    because partition numbers must not change between the two reads.
+    a partition is the row count of those before it. The aggregate is stored so that it is
+    computed once, the partitioned values because partition numbers must not change between
+    the two reads.
     """
     order = sort_order(by, descending, nulls)
+    df = stored(df)
     values = stored(
         df.groupBy(by)
         .agg(F.count(F.lit(1)).alias("_rows"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rating_spread(rating: str, rows: str | None = None) -> list[Column]:
+def rating_spread(rating: str) -> list[Column]:
     """Count, sum and sum of squares of a whole-number rating: enough for mean and variance."""
     value = F.col(rating).cast("long")
     return [

@@ -387,13 +387,21 @@ def agent_leaderboard(
     """
     keys = ["order_month"] if monthly else []
     orders = t.orders.select("order_id", *keys, F.lit(True).alias("_known"))
-    metrics = (
+    # One row per agent and order: the join's partitioning by order serves this step too, and
+    # counting its rows is the distinct count of orders.
+    per_order = (
         t.deliveries.select("order_id", "agent_id", "delivery_rating")
         .join(orders, "order_id", "left")
-        .groupBy(*keys, "agent_id")
+        .groupBy(*keys, "agent_id", "order_id")
+        .agg(F.max("_known").alias("_known"), *rating_spread("delivery_rating"))
+    )
+    metrics = (
+        per_order.groupBy(*keys, "agent_id")
         .agg(
-            F.count_distinct(F.when(F.col("_known"), F.col("order_id"))).alias("order_volume"),
-            *rating_spread("delivery_rating"),
+            F.count("_known").alias("order_volume"),
+            F.sum("rated").alias("rated"),
+            F.sum("rating_sum").alias("rating_sum"),
+            F.sum("rating_squares").alias("rating_squares"),
         )
         .withColumn("avg_rating", per_count(F.col("rating_sum"), F.col("rated"), 2))
         .withColumn(
