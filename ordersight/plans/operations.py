@@ -462,7 +462,7 @@ def city_restaurant_pivot(
         .agg(
             per_count(F.sum("rating_sum"), F.sum("rated"), 2).alias("avg_rating"),
             per_count(F.sum("_minutes"), F.sum("_timed"), 2).alias("avg_delivery_minutes"),
-            *distinct_in_periods("order_month", dict(zip(names, months)), F.col("order_id")),
+            *distinct_in_periods("order_month", dict(zip(names, months)), "order_id"),
         )
         .orderBy("third_month_orders", "restaurant_id")
     )

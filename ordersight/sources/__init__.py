@@ -1,12 +1,10 @@
 """Readers, cleaning and writers for the five logical tables."""
 
-from ordersight.sources.clean import clean_tables
 from ordersight.sources.star import star_tables
 from ordersight.sources.tables import Tables, read_clean, read_raw, write_clean
 
 __all__ = [
     "Tables",
-    "clean_tables",
     "read_clean",
     "read_raw",
     "star_tables",

@@ -52,7 +52,3 @@ CLEANERS = {
     "deliveries": clean_deliveries,
     "delivery_agents": clean_places,
 }
-
-
-def clean_tables(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {name: CLEANERS[name](frame) for name, frame in frames.items()}
