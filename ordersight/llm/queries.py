@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,13 @@ from ordersight.llm.chat import format_chat, read_chat, text_parts
 from ordersight.llm.curriculum import mix_sources
 from ordersight.llm.licenses import license_scan
 from ordersight.llm.line_dedup import drop_common_lines
+from ordersight.llm.packing import pack_pieces, token_pieces
 from ordersight.llm.quality import quality_verdicts
+from ordersight.llm.store import scratch_path
+from ordersight.llm.token_files import read_token_files, write_token_files
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+SEQUENCE = 2048
 
 #: Heavy sources early, light ones late.
 SCHEDULES = {5: ((0.0, 1.5), (1.0, 0.5)), 1: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
@@ -19,6 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_pieces(token_pieces(docs, BYTE_BPE, SEQUENCE), SEQUENCE)
+
+
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "token-files")
+    write_token_files(docs, path, BYTE_BPE)
+    return read_token_files(spark, path)
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix_sources(docs, schedules=SCHEDULES)
@@ -76,6 +95,8 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": best_fit_packing,
+    "op2_token_output": token_output,
     "op3_source_mix": source_mix,
     "op4_quality_rules": quality_rules,
     "op8_line_dedup": line_dedup,
