@@ -5,13 +5,25 @@ is cut there, and each distinct chunk is encoded once per worker and remembered.
 other white space is encoded in one piece. Either way the ids are those of the whole text.
 """
 
+import os
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
-from tokenizers import Tokenizer
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core already
 
-MEMO_CHUNKS = 1_000_000
+from tokenizers import Tokenizer  # noqa: E402
+
+MEMO_CHUNKS = 700_000
 LONG_CHUNK = 64
+AT_ONCE = 4096
+
+
+def byte_letters() -> dict[int, str]:
+    """How a byte-level model spells each byte: printable Latin-1 as itself, the rest from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
@@ -20,33 +32,90 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.memo: dict[str, bytes | None] = {}
+        self.model = self.tokenizer.model
+        self.spelling = byte_letters()
+        #: Ids by chunk; False for a chunk whose text has to be encoded whole.
+        self.memo: dict[str, bytes | bool] = {}
+        #: The same for words that begin a line, and for runs of full stops and commas.
+        self.first: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.newline = next(self.encode(["\n"]))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for begin in range(0, len(texts), AT_ONCE):
+            part = texts[begin : begin + AT_ONCE]
+            for found in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield array("I", found.ids).tobytes()
+
+    def merge(self, piece: str) -> bytes:
+        """Ids of one piece as the tokenizer's pattern cuts them (letters, marks, at most a space in
+        front): only the model has to run."""
+        if piece.isascii():
+            spelled = piece.replace(" ", self.spelling[32])
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.spelling)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            self.tails[marks] = self.merge(marks)
+        return self.tails[marks]
+
+    def plain(self, chunk: str) -> bytes | None:
+        """Ids of letters followed by full stops or commas, after a space; None for anything else."""
+        word = chunk.rstrip(".,")
+        if not word.isalpha():
+            return None
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self.memo[word] = self.merge(" " + word)
+        return ids + self.tail(chunk[len(word) :])
+
+    def line_start(self, chunk: str) -> bytes | None:
+        word = chunk.rstrip(".,")
+        if not word.isalpha():
+            return None
+        if word not in self.first:
+            self.first[word] = self.merge(word)
+        return self.first[word] + self.tail(chunk[len(word) :])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def learn(self, chunks: set[str]) -> None:
+        other = []
+        for chunk in chunks:
+            ids = self.plain(chunk)
+            if ids is None and chunk.count("\n") == 1:
+                before, after = map(lambda f, x: f(x), (self.plain, self.line_start), chunk.split("\n"))
+                ids = None if before is None or after is None else before + self.newline + after
+            if ids is not None:
+                self.memo[chunk] = ids
+            elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
+                other.append(chunk)
+            else:
+                self.memo[chunk] = False
+        self.memo.update(zip(other, self.encode([" " + c for c in other])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_CHUNKS:
             self.memo.clear()
-        memo, cut = self.memo, [text.split(" ") for text in texts]
-        heads = self.encode([chunks.pop(0) for chunks in cut])
-        needed: set[str] = set()
-        for chunks in cut:
-            needed.update(chunks)
-        new = [c for c in needed if c not in memo]
-        clean = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        memo.update(dict.fromkeys(new))  # None: this text has to be encoded whole
-        memo.update(zip(clean, self.encode([" " + c for c in clean])))
+            self.first.clear()
+            self.tails = {"": b""}
+        memo = self.memo
+        cut = [text.split(" ") for text in texts]
+        heads = [chunks.pop(0) for chunks in cut]
+        known = [list(map(memo.get, chunks)) for chunks in cut]
+        holes = [[i for i, x in enumerate(found) if x is None] if None in found else () for found in known]
+        new = {chunks[i] for chunks, at in zip(cut, holes) for i in at}
+        self.learn(new)
         out, whole = [], []
-        for i, (text, head, chunks) in enumerate(zip(texts, heads, cut)):
-            try:
-                if chunks and text[: text.index(" ")][-1:].isspace():
-                    raise TypeError
-                out.append(head + b"".join(map(memo.__getitem__, chunks)))
-            except TypeError:
+        for i, (head, first) in enumerate(zip(heads, self.encode(heads))):
+            found, chunks = known[i], cut[i]
+            for at in holes[i]:
+                found[at] = memo[chunks[at]]
+            if (found and head[-1:].isspace()) or False in found:
                 out.append(b"")
                 whole.append(i)
+            else:
+                out.append(first + b"".join(found))
         for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
             out[i] = ids
         for c in new:
