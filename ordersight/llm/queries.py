@@ -10,6 +10,7 @@ from ordersight.llm.chat import format_chat, read_chat, text_parts
 from ordersight.llm.curriculum import mix_sources
 from ordersight.llm.licenses import license_scan
 from ordersight.llm.line_dedup import drop_common_lines
+from ordersight.llm.lm_score import lm_score
 from ordersight.llm.packing import pack_pieces, token_pieces
 from ordersight.llm.quality import quality_verdicts
 from ordersight.llm.store import scratch_path
@@ -62,6 +63,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy")
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_common_lines(docs).select(
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": token_output,
     "op3_source_mix": source_mix,
     "op4_quality_rules": quality_rules,
+    "op7_lm_score": lm_scores,
     "op8_line_dedup": line_dedup,
     "op9_chat_format": chat_format,
     "op10_license_scan": licenses,
