@@ -12,7 +12,7 @@ included; an empty table gives an empty result. Other columns are passed through
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.llm.store import BLANKS, ascii_lower, same, unused
+from ordersight.llm.store import BLANKS, ascii_lower, same, stored, unused
 
 
 def line_keys(text: Column, min_chars: int) -> Column:
@@ -44,13 +44,14 @@ def drop_common_lines(
         F.xxhash64(text).alias("hash"),
         line_keys(F.col(text), min_chars).alias("keys"),
     )
-    common = (
+    common = stored(  # a plain table, so that the join splits a line of very many documents
         keyed.select(F.explode(F.array_distinct("keys")).alias("key"))
         .filter("key is not null")
         .groupBy(F.col("key.h1").alias("c1"), F.col("key.h2").alias("c2"))
         .agg(F.count(F.lit(1)).alias("docs"))
         .filter(F.col("docs") >= min_docs)
-        .select("c1", "c2")
+        .select("c1", "c2"),
+        "common-lines",
     )
     placed = keyed.select("id", "hash", F.posexplode("keys").alias("pos", "key")).filter(
         "key is not null"

@@ -159,13 +159,15 @@ def ask(
             )
 
     for batch in batches:
-        for slice_, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("slice", "id", "text")]):
-            if slice_ != current and texts:
-                yield from flush()
-                ids, texts = [], []
-            current = slice_
-            ids.append(doc_id)
-            texts.append(text)
+        for begin in range(0, batch.num_rows, 512):
+            some = batch.slice(begin, 512)
+            for slice_, doc_id, text in zip(*[some.column(c).to_pylist() for c in ("slice", "id", "text")]):
+                if slice_ != current and texts:
+                    yield from flush()
+                    ids, texts = [], []
+                current = slice_
+                ids.append(doc_id)
+                texts.append(text)
     if texts:
         yield from flush()
 

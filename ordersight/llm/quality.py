@@ -112,13 +112,14 @@ def quality_verdicts(
     lines = stats.select("id", "host", "text_hash", F.explode("lines").alias("line")).select(
         "id", "host", "text_hash", F.col("line.key").alias("key"), F.col("line.words").alias("words")
     )
-    common = (
+    common = stored(  # a plain table, so that the join splits a line of very many documents
         lines.groupBy("host", "key", "text_hash")
         .agg(F.lit(1).alias("one"))
         .groupBy(F.col("host").alias("_host"), F.col("key").alias("_key"))
         .agg(F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") > max_docs)
-        .select("_host", "_key")
+        .select("_host", "_key"),
+        "quality-common",
     )
     removed = (
         lines.join(common, (F.col("key") == F.col("_key")) & same(F.col("host"), F.col("_host")))

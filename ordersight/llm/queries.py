@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ordersight.llm.chat import format_chat, read_chat, text_parts
 from ordersight.llm.curriculum import mix_sources
+from ordersight.llm.embed_dedup import embedding_links
 from ordersight.llm.licenses import license_scan
 from ordersight.llm.line_dedup import drop_common_lines
 from ordersight.llm.lm_score import lm_score
+from ordersight.llm.ngram_join import jaccard_groups
 from ordersight.llm.packing import pack_pieces, token_pieces
 from ordersight.llm.quality import quality_verdicts
 from ordersight.llm.store import scratch_path
@@ -63,6 +65,15 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy")
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_groups(docs).drop("text_hash")
+
+
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -104,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": token_output,
     "op3_source_mix": source_mix,
     "op4_quality_rules": quality_rules,
+    "op5_ngram_jaccard": ngram_jaccard,
+    "op6_embedding_dedup": embedding_dedup,
     "op7_lm_score": lm_scores,
     "op8_line_dedup": line_dedup,
     "op9_chat_format": chat_format,
