@@ -1,6 +1,6 @@
 """Connected components of an edge table, and comparing the members of groups in bounded blocks."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.llm.store import stored
@@ -54,25 +54,50 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
-def in_blocks(members: DataFrame, group: str, member: str, chunk: int) -> DataFrame:
-    """``members`` dealt so that any two of a group meet in some ``(group, low, high)``.
+def in_blocks(members: DataFrame, chunk: int, reach: int = 0) -> DataFrame:
+    """``members (group, member, band)`` dealt so that any two of a group whose bands differ by
+    ``reach`` at most meet in some ``(group, low, high)``; ``cell`` tells them apart.
 
-    A group is cut into parts of about ``chunk`` members, and a block holds one or two parts;
-    ``part`` tells which. A group of one chunk is one block. No block grows with its group.
+    A group of up to ``chunk`` members is one block. A larger one is cut by band, and a band into cells of
+    about ``chunk`` members; a block holds one or two cells. No block grows with its group.
     """
-    sizes = stored(  # a plain table, so that the join splits a group of very many members
-        members.groupBy(F.col(group).alias("_group")).agg(
-            F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_parts")
+    wide = Window.partitionBy("group")  # a row for each band of a group
+    bands = members.groupBy("group", "band").agg(F.count(F.lit(1)).alias("n"))
+    bands = bands.withColumn("whole", F.sum("n").over(wide) <= chunk)
+    plan = stored(  # a plain table, so that the join splits a group of very many members
+        bands.select(
+            F.col("group").alias("_group"),
+            F.col("band").alias("_band"),
+            F.when(F.col("whole"), F.lit(1)).otherwise(F.ceil(F.col("n") / chunk)).cast("int").alias("_cells"),
+            F.when(F.col("whole"), F.lit(0)).otherwise(F.col("band")).alias("_used"),
         ),
-        "group-sizes",
+        "block-plan",
     )
-    dealt = members.join(sizes, F.col(group) == F.col("_group")).withColumn(
-        "part", F.pmod(F.xxhash64(member, F.lit(7)), F.col("_parts")).cast("int")
+    cells = plan.select(
+        F.col("_group").alias("g"), F.col("_used").alias("u"), F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("c")
+    ).distinct()
+    name = lambda u, c: F.shiftleft(F.col(u).cast("long"), 32) + F.col(c)
+    cells = cells.select("g", "u", name("u", "c").alias("cell"))
+    other = cells.select(F.col("g").alias("g2"), F.col("u").alias("u2"), F.col("cell").alias("cell2"))
+    blocks = stored(
+        cells.join(other, (F.col("g") == F.col("g2")) & (F.abs(F.col("u") - F.col("u2")) <= reach)).select(
+            F.col("g").alias("_g"),
+            F.col("cell").alias("_c"),
+            F.least("cell", "cell2").alias("low"),
+            F.greatest("cell", "cell2").alias("high"),
+        ),
+        "blocks",
     )
-    every = F.sequence(F.lit(0), F.col("_parts") - 1)
-    return (
-        dealt.withColumn("_other", F.explode(every))
-        .withColumn("low", F.least("part", "_other"))
-        .withColumn("high", F.greatest("part", "_other"))
-        .drop("_group", "_parts", "_other")
+    dealt = members.join(
+        plan, (F.col("group") == F.col("_group")) & (F.col("band") == F.col("_band"))
+    ).select(
+        "group",
+        "member",
+        (
+            F.shiftleft(F.col("_used").cast("long"), 32)
+            + F.pmod(F.xxhash64("member", F.lit(7)), F.col("_cells"))
+        ).alias("cell"),
     )
+    return dealt.join(
+        blocks, (F.col("group") == F.col("_g")) & (F.col("cell") == F.col("_c"))
+    ).select("group", "member", "cell", "low", "high")

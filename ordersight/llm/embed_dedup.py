@@ -101,13 +101,13 @@ def hashed(
 def block_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     unit = np.stack(rows["unit"].to_numpy())
     names = np.stack(rows["codes"].to_numpy())
-    bucket = rows["bucket"].iloc[0]
+    bucket = rows["group"].iloc[0]
     copies, reps = rows["copies"].to_numpy(), rows["rep"].to_numpy()
     close = unit @ unit.T >= least
     np.fill_diagonal(close, False)
     if rows["low"].iloc[0] != rows["high"].iloc[0]:
-        parts = rows["part"].to_numpy()
-        close &= parts[:, None] != parts[None, :]
+        cell = rows["cell"].to_numpy()
+        close &= cell[:, None] != cell[None, :]
     left, right = np.nonzero(close)
     # Tables in order, and the smaller name first within one: the first bucket two classes share.
     seen = np.zeros(len(left), bool)
@@ -190,12 +190,15 @@ def embedding_links(
         "embed-buckets",
     )
     placed = coded.select("rep", F.explode(F.array_distinct("codes")).alias("bucket"))
-    members = placed.join(shared, F.col("bucket") == F.col("_bucket")).select("rep", "bucket")
-    blocks = in_blocks(members, "bucket", "rep", CHUNK)
+    members = placed.join(shared, F.col("bucket") == F.col("_bucket")).select(
+        F.col("bucket").alias("group"), F.col("rep").alias("member"), F.lit(0).alias("band")
+    )
+    blocks = in_blocks(members, CHUNK)
     whole = coded.withColumnRenamed("rep", "_rep")
     found = stored(
-        blocks.join(whole, F.col("rep") == F.col("_rep"))
-        .groupBy("bucket", "low", "high")
+        blocks.join(whole, F.col("member") == F.col("_rep"))
+        .withColumnRenamed("_rep", "rep")
+        .groupBy("group", "low", "high")
         .applyInPandas(lambda rows: block_links(rows, least), "rep bigint, links bigint, near bigint"),
         "embed-links",
     )

@@ -8,7 +8,7 @@
    elements in any common order, size - ceil(similarity * size) + 1 of them, have one in common;
    the order puts frequent elements last. Sets with a prefix element in common are joined in a star.
 3. What is connected so far is a cluster of candidates. Every set travels once to its cluster, or a few
-   times to blocks of it if it is large, and its similarity to the others is computed exactly. A
+   times to blocks of it if it is large (only blocks of like sizes meet), and its similarity to the others is computed exactly. A
    block returns a row per linked set, not a row per pair.
 4. Components of these links are the groups.
 
@@ -39,6 +39,7 @@ SLICE = 4096
 CELLS = 64
 FEW = 16  # sets of one signature whose pairs are listed
 CHUNK = 128
+BAND = 1.12  # ratio of the sizes that stand in one band of a large cluster
 COMMON = 50_000  # elements that the prefix order knows as frequent; any number is right
 
 DOC, PAIR, CROWDED = 0, 1, 2
@@ -213,6 +214,15 @@ def element_sets(
             )
 
 
+def run_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of each short list of keys."""
+    for rows in batches:
+        lists = [np.sort(x) for x in rows["keys"]]
+        nodes = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        sizes = np.array([len(x) for x in lists], np.int64)
+        yield pd.DataFrame(pairs_of(np.cumsum(sizes) - sizes, sizes, nodes), columns=["a", "b"])
+
+
 def often(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Elements that several sets of a partition hold, with their number."""
     for batch in batches:
@@ -250,7 +260,7 @@ def prefixes(
 def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """``a, b``: every set of the block that is linked, with the smallest of those it is connected to."""
     sets = [np.frombuffer(x, "<u8") for x in rows["elements"]]
-    keys, parts = rows["key"].to_numpy(), rows["part"].to_numpy()
+    keys, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     cluster = np.arange(len(sets))
@@ -268,7 +278,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         common = np.bincount(owner[at], minlength=len(sets))
         linked = 100 * common >= percent * (sizes[i] + sizes - common)
         if across:
-            linked &= parts != parts[i]
+            linked &= cell != cell[i]
         linked[i] = True
         old = np.unique(cluster[linked])
         if len(old) > 1:
@@ -304,24 +314,31 @@ def jaccard_groups(
         .agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "sketch")])
     )
 
-    def side(name: str) -> DataFrame:
-        return nodes.select(
-            F.col("a").alias(f"_{name}"),
-            F.col("key").alias(name),
-            F.col("n_shingles").alias(f"n_{name}"),
-            F.col("sketch").alias(f"sketch_{name}"),
+    pairs = (
+        found.filter(F.col("kind") == PAIR).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    )
+    key_of = lambda name: nodes.select(F.col("a").alias(f"_{name}"), F.col("key").alias(name))
+    keyed = pairs.join(key_of("a"), F.col("x") == F.col("_a")).join(key_of("b"), F.col("y") == F.col("_b"))
+    shapes = stored(
+        nodes.groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
+        "jaccard-shapes",
+    )
+
+    def filtered(pairs: DataFrame, name: str) -> DataFrame:
+        """The distinct pairs of keys that may be similar enough."""
+        ordered = (
+            pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        )
+        for side in "ab":
+            shape = shapes.select(
+                F.col("key").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")
+            )
+            ordered = ordered.join(shape, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
+        return stored(
+            ordered.mapInPandas(partial(close_enough, percent=percent), "a bigint, b bigint"), name
         )
 
-    pairs = found.filter(F.col("kind") == PAIR).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-    placed = pairs.join(side("a"), F.col("x") == F.col("_a")).join(side("b"), F.col("y") == F.col("_b"))
-    possible = stored(
-        placed.filter("a <> b")
-        .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        .mapInPandas(partial(close_enough, percent=percent), "a bigint, b bigint")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "jaccard-possible",
-    )
+    possible = filtered(keyed.select("a", "b"), "jaccard-possible")
     crowded = (
         found.filter(F.col("kind") == CROWDED)
         .select(F.col("a").alias("x"))
@@ -346,9 +363,9 @@ def jaccard_groups(
     )
     sets = stored(
         known.join(holders, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+        .dropDuplicates(["id", "text_hash"])
         .select("text", "crowded")
-        .mapInArrow(partial(element_sets, width=width), "key bigint, crowded boolean, elements binary")
-        .dropDuplicates(["key"]),
+        .mapInArrow(partial(element_sets, width=width), "key bigint, crowded boolean, elements binary"),
         "jaccard-sets",
     )
     dense = sets.filter("crowded").select("key", "elements")
@@ -376,17 +393,23 @@ def jaccard_groups(
         .filter("sets > 1"),
         "jaccard-centres",
     )
-    stars = (
-        first.join(centres, F.col("element") == F.col("_e"))
-        .select(F.col("key").alias("a"), "b")
-        .filter("a <> b")
-        .distinct()
+    met = first.join(centres, F.col("element") == F.col("_e"))
+    stars = met.filter(F.col("sets") > FEW).select(F.col("key").alias("a"), "b").filter("a <> b").distinct()
+    short = met.filter(F.col("sets") <= FEW).groupBy("element").agg(F.collect_set("key").alias("keys"))
+    likely = filtered(
+        short.select("keys").distinct().mapInPandas(run_pairs, "a bigint, b bigint"), "jaccard-likely"
+    )
+    clusters = components(possible.union(likely).union(stars))
+    members = clusters.join(shapes, F.col("node") == F.col("key")).select(
+        F.col("component").alias("group"),
+        F.col("node").alias("member"),
+        F.floor(F.log(F.col("n").cast("double")) / np.log(BAND)).cast("int").alias("band"),
     )
-    clusters = components(possible.select("a", "b").union(stars))
-    members = sets.select("key", "elements").join(clusters, F.col("key") == F.col("node")).drop("node")
+    reach = int(np.ceil(np.log(100 / percent) / np.log(BAND)))
     links = (
-        in_blocks(members, "component", "key", CHUNK)
-        .groupBy("component", "low", "high")
+        in_blocks(members, CHUNK, reach)
+        .join(sets.select("key", "elements"), F.col("member") == F.col("key"))
+        .groupBy("group", "low", "high")
         .applyInPandas(lambda rows: block_links(rows, percent), "a bigint, b bigint")
     )
     groups = components(links)
