@@ -9,7 +9,7 @@
    the order puts frequent elements last. Sets with a prefix element in common are joined in a star.
 3. What is connected so far is a cluster of candidates. Every set travels once to its cluster, or a few
    times to blocks of it if it is large (only blocks of like sizes meet), and its similarity to the others is computed exactly. A
-   block returns a row per linked set, not a row per pair.
+   block returns a row per linked set, not a row per pair. Elements are 48-bit hashes here.
 4. Components of these links are the groups.
 
 No step loses a pair: signatures and prefixes are complete, histograms only drop what is
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.llm.components import components, in_blocks
-from ordersight.llm.shingles import differences, shingle_sets, signatures
+from ordersight.llm.shingles import differences, from_bytes, shingle_sets, signatures, to_bytes
 from ordersight.llm.store import same, stored, with_package
 
 SLICE = 4096
@@ -48,7 +48,7 @@ SENT_ARROW = pa.schema(
     [("bucket", pa.int64()), ("slice", pa.int64()), ("sigs", pa.binary()), ("places", pa.binary())]
 )
 FOUND = (
-    "kind int, a bigint, b bigint, doc_id bigint, text_hash bigint, n_shingles bigint, key bigint, sketch binary"
+    "kind int, a bigint, b bigint, doc_id bigint, text_hash bigint, n_shingles bigint, key bigint, sketch binary, fine binary"
 )
 DOC_ROWS = 1 << 40  # from this bucket number on, a row holds the documents of a slice
 
@@ -57,10 +57,15 @@ def set_key(elements: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(elements.tobytes()) - (1 << 63) if len(elements) else 0
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall into each cell of the domain, at most 255."""
-    counts = np.bincount((elements >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+def fine_cells(n: int) -> int:
+    """Cells of the fine histogram of a set of ``n``: a few elements each, up to 4096 cells."""
+    return 1 << min(12, max(6, (n // 4).bit_length()))
+
+
+def histogram(elements: np.ndarray, cells: int) -> bytes:
+    """How many elements fall into each part of the domain, at most 255."""
+    place = (elements >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=cells), 255).astype(np.uint8).tobytes()
 
 
 def send(
@@ -75,9 +80,8 @@ def send(
         sigs, owners, shown = [], [], []
         for key, elements in zip(keys, sets):
             if key in place:
-                shown.append(b"")
                 continue
-            shown.append(sketch(elements))
+            shown.append(histogram(elements, fine_cells(len(elements))))
             place[key] = len(place)
             if len(elements):
                 own = signatures(elements, percent)
@@ -148,18 +152,23 @@ def meet(sent: pd.DataFrame) -> pd.DataFrame:
     if sent["bucket"].iloc[0] >= DOC_ROWS:
         slice_ = int(sent["slice"].iloc[0])
         doc_id, text_hash, n, key, place = np.frombuffer(sent["places"].iloc[0], "<i8").reshape(5, -1)
-        sketches = zlib.decompress(sent["sigs"].iloc[0])
+        shown = np.frombuffer(zlib.decompress(sent["sigs"].iloc[0]), np.uint8)
+        first = np.unique(place, return_index=True)[1]
+        ends = np.cumsum([fine_cells(x) for x in n[first].tolist()])
+        fine = np.split(shown, ends[:-1])
+        coarse = [np.minimum(folded(x, CELLS), 255).astype(np.uint8).tobytes() for x in fine]
+        once = np.zeros(len(n), bool)  # a set that several documents have is described once
+        once[first] = True
         out = pd.DataFrame(
             {"kind": DOC, "a": slice_ * SLICE + place, "b": 0, "doc_id": doc_id}
             | {"text_hash": text_hash, "n_shingles": n, "key": key}
-            | {"sketch": [sketches[CELLS * p : CELLS * (p + 1)] for p in place.tolist()]}
+            | {"sketch": [coarse[p] if o else b"" for p, o in zip(place.tolist(), once)]}
+            | {"fine": [fine[p].tobytes() if o else b"" for p, o in zip(place.tolist(), once)]}
         )
         return out[names]
     sigs, nodes = [], []
     for slice_, low, places in zip(sent["slice"], sent["sigs"], sent["places"]):
-        wide = np.zeros((len(low) // 6, 8), "u1")
-        wide[:, :6] = np.frombuffer(low, "u1").reshape(-1, 6)
-        sigs.append(wide.reshape(-1).view("<u8"))
+        sigs.append(from_bytes(low))
         nodes.append(np.frombuffer(places, "<u2").astype(np.int64) + slice_ * SLICE)
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
     order = np.argsort(sig, kind="stable")
@@ -179,25 +188,32 @@ def meet(sent: pd.DataFrame) -> pd.DataFrame:
             "n_shingles": 0,
             "key": 0,
             "sketch": None,
+            "fine": None,
         }
     )
     return out[names]
 
 
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """A histogram with fewer cells; a full one stays recognisable."""
+    wide = counts.astype(np.int32).reshape(cells, -1)
+    return np.where((wide == 255).any(axis=1), 255, wide.sum(axis=1))
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Differences that two histograms prove."""
+    left, right = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    cells = min(len(left), len(right))
+    left, right = folded(left, cells), folded(right, cells)
+    return int(np.abs(left - right)[(left < 255) & (right < 255)].sum())
+
+
 def close_enough(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Pairs that sizes and histograms leave possible."""
     for rows in batches:
-        if rows.empty:
-            yield rows[["a", "b"]]
-            continue
-        left, right = (
-            np.frombuffer(b"".join(rows[c]), np.uint8).reshape(-1, CELLS).astype(np.int32)
-            for c in ("sketch_a", "sketch_b")
-        )
-        full = (left == 255) | (right == 255)
-        apart = np.where(full, 0, np.abs(left - right)).sum(axis=1)
-        allowed = (rows["n_a"] + rows["n_b"]).to_numpy() * (100 - percent) // (100 + percent)
-        yield rows.loc[apart <= allowed, ["a", "b"]]
+        allowed = differences((rows["n_a"] + rows["n_b"]).to_numpy(), 0, percent)
+        keep = [x >= apart(a, b) for x, a, b in zip(allowed, rows["sketch_a"], rows["sketch_b"])]
+        yield rows.loc[np.array(keep, bool), ["a", "b"]]
 
 
 def element_sets(
@@ -209,7 +225,7 @@ def element_sets(
             sets = shingle_sets(part.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(s) for s in sets], pa.int64()), part.column("crowded")]
-                + [pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                + [pa.array([to_bytes(s) for s in sets], pa.binary())],
                 names=["key", "crowded", "elements"],
             )
 
@@ -226,7 +242,7 @@ def run_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def often(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Elements that several sets of a partition hold, with their number."""
     for batch in batches:
-        sets = [np.frombuffer(x, "<u8") for x in batch.column("elements").to_pylist()]
+        sets = [from_bytes(x) for x in batch.column("elements").to_pylist()]
         elements, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else ([], [])
         keep = np.asarray(counts) >= least
         yield pa.RecordBatch.from_arrays(
@@ -243,7 +259,7 @@ def prefixes(
     for batch in batches:
         elements, keys = [], []
         for key, data in zip(batch.column("key").to_pylist(), batch.column("elements").to_pylist()):
-            own = np.frombuffer(data, "<u8")
+            own = from_bytes(data)
             n = len(own) + (-len(own) * percent // 100) + 1
             at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
             frequent = common[at] == own if len(common) else np.zeros(len(own), bool)
@@ -259,7 +275,7 @@ def prefixes(
 
 def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """``a, b``: every set of the block that is linked, with the smallest of those it is connected to."""
-    sets = [np.frombuffer(x, "<u8") for x in rows["elements"]]
+    sets = [from_bytes(x) for x in rows["elements"]]
     keys, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
@@ -297,7 +313,7 @@ def jaccard_groups(
         F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
     )
     known = base.filter("id is not null")
-    buckets = max(1, -(-docs.count() // SLICE))
+    buckets = max(1, -(-docs.count() // (2 * SLICE)))
     numbered = known.withColumn(
         "slice", F.floor(F.monotonically_increasing_id() / SLICE).cast("long")
     )
@@ -311,7 +327,7 @@ def jaccard_groups(
     nodes = (
         documents.filter("octet_length(sketch) > 0 and n_shingles > 0")
         .groupBy("a")
-        .agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "sketch")])
+        .agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "sketch", "fine")])
     )
 
     pairs = (
@@ -320,7 +336,9 @@ def jaccard_groups(
     key_of = lambda name: nodes.select(F.col("a").alias(f"_{name}"), F.col("key").alias(name))
     keyed = pairs.join(key_of("a"), F.col("x") == F.col("_a")).join(key_of("b"), F.col("y") == F.col("_b"))
     shapes = stored(
-        nodes.groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
+        nodes.groupBy("key").agg(
+            F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")
+        ),
         "jaccard-shapes",
     )
 
@@ -329,14 +347,18 @@ def jaccard_groups(
         ordered = (
             pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         )
-        for side in "ab":
-            shape = shapes.select(
-                F.col("key").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")
+        for shape in ("sketch", "fine"):  # the coarse ones spare sending most of the fine ones
+            for side in "ab":
+                own = shapes.select(
+                    F.col("key").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col(shape).alias(f"sketch_{side}")
+                )
+                ordered = ordered.join(own, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
+            smaller = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+            ordered = stored(
+                ordered.filter(smaller).mapInPandas(partial(close_enough, percent=percent), "a bigint, b bigint"),
+                name,
             )
-            ordered = ordered.join(shape, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
-        return stored(
-            ordered.mapInPandas(partial(close_enough, percent=percent), "a bigint, b bigint"), name
-        )
+        return ordered
 
     possible = filtered(keyed.select("a", "b"), "jaccard-possible")
     crowded = (

@@ -127,3 +127,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
     return 100 * common >= percent * (len(both) - common) and len(both) > 0
+
+
+def to_bytes(elements: np.ndarray) -> bytes:
+    """Sorted elements in six bytes each: their upper 48 bits."""
+    return (elements >> np.uint64(16)).astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_bytes(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), "u1")
+    wide[:, :6] = np.frombuffer(data, "u1").reshape(-1, 6)
+    return wide.reshape(-1).view("<u8")
