@@ -48,7 +48,7 @@ ASK_ARROW = pa.schema(
 )
 ANSWER = "slice bigint, bucket bigint, n int, totals binary, tokens bigint, types bigint, powers array<double>"
 SCORED = (
-    "doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+    "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
     "base_score double, score double"
 )
 LOW = np.uint64((1 << 48) - 1)
@@ -64,11 +64,6 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def is_held_out(doc_ids: list, folds: int, fold: int) -> np.ndarray:
-    names = ["" if d is None else str(d) for d in doc_ids]
-    return np.array([zlib.crc32(n.encode()) % folds == fold for n in names], bool)
-
-
 class Slice:
     """The n-grams of some documents: for each order, distinct hashes and each token's place there.
 
@@ -137,14 +132,14 @@ def from_small(data: bytes) -> np.ndarray:
 
 
 def ask(
-    batches: Iterator[pa.RecordBatch], order: int, buckets: int, folds: int, fold: int
+    batches: Iterator[pa.RecordBatch], order: int, buckets: int
 ) -> Iterator[pa.RecordBatch]:
     """The n-grams of each slice, by bucket. The rows of a slice follow each other."""
-    current, ids, texts = None, [], []
+    current, held, texts = None, [], []
 
     def flush() -> Iterator[pa.RecordBatch]:
         part = Slice(texts, order, buckets)
-        train = ~is_held_out(ids, folds, fold)
+        train = ~np.array(held, bool)
         for n in range(order):
             counts = part.counts(n, train)
             owners = part.owners[n]
@@ -161,12 +156,12 @@ def ask(
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             some = batch.slice(begin, 512)
-            for slice_, doc_id, text in zip(*[some.column(c).to_pylist() for c in ("slice", "id", "text")]):
+            for slice_, out, text in zip(*[some.column(c).to_pylist() for c in ("slice", "held", "text")]):
                 if slice_ != current and texts:
                     yield from flush()
-                    ids, texts = [], []
+                    held, texts = [], []
                 current = slice_
-                ids.append(doc_id)
+                held.append(out)
                 texts.append(text)
     if texts:
         yield from flush()
@@ -252,8 +247,6 @@ def score_slice(
     answers: pd.DataFrame,
     order: int,
     buckets: int,
-    folds: int,
-    fold: int,
     tokens: int,
     types: int,
     beta: float,
@@ -262,7 +255,6 @@ def score_slice(
     if docs.empty:
         return pd.DataFrame(columns=[c.split()[0] for c in SCORED.split(", ")])
     texts = [t if isinstance(t, str) else None for t in docs["text"]]
-    ids = [None if pd.isna(d) else d for d in docs["id"]]
     part = Slice(texts, order, buckets)
     answers = answers.sort_values(["n", "bucket"])
     totals = []
@@ -276,8 +268,8 @@ def score_slice(
     ends = part.starts + part.sizes
     return pd.DataFrame(
         {
-            "doc_id": ids,
-            "held_out": is_held_out(ids, folds, fold),
+            "doc_id": docs["id"],
+            "held_out": docs["held"],
             "n_tokens": part.sizes,
             "n_known": np.add.reduceat(known.astype(np.int64), part.starts),
             "train_tokens": tokens,
@@ -307,17 +299,18 @@ def lm_score(
 
     ``order`` is the longest n-gram. Ids must be integers or strings.
     """
+    name = F.col(id).cast("string")  # ids travel as text, which pandas leaves as it is
     sliced = with_package(docs).select(
-        F.col(id).alias("id"),
+        name.alias("id"),
+        (F.crc32(F.coalesce(name, F.lit(""))) % folds == fold).alias("held"),
         F.col(text).alias("text"),
         F.floor(F.monotonically_increasing_id() / slice_rows).cast("long").alias("slice"),
     )
     kind = docs.schema[id].dataType.simpleString()
-    schema = SCORED.format(kind=kind)
     buckets = max(1, -(-docs.count() // slice_rows))
-    folded = {"order": order, "buckets": buckets, "folds": folds, "fold": fold}
+    shape = {"order": order, "buckets": buckets}
     answers = stored(
-        sliced.mapInArrow(partial(ask, **folded), ASK)
+        sliced.mapInArrow(partial(ask, **shape), ASK)
         .groupBy("bucket")
         .applyInPandas(add_up, ANSWER),
         "lm-answers",
@@ -326,7 +319,7 @@ def lm_score(
     sums = answers.groupBy("n").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
     by_order = {r["n"]: r for r in sums.collect()}
     if not by_order:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], SCORED).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id)
     powers = (
         answers.filter("n = 0 and types > 0")
         .select(F.posexplode("powers").alias("at", "sum"))
@@ -338,7 +331,7 @@ def lm_score(
     bigrams = by_order[1]["types"] if order > 1 else 0
     scorer = partial(
         score_slice,
-        **folded,
+        **shape,
         tokens=by_order[0]["tokens"],
         types=by_order[0]["types"],
         beta=fitted_beta([r["sum"] for r in powers], bigrams),
@@ -351,6 +344,7 @@ def lm_score(
     return (
         sliced.groupBy("slice")
         .cogroup(answers.select("slice", "bucket", "n", "totals").groupBy("slice"))
-        .applyInPandas(scored, schema)
+        .applyInPandas(scored, SCORED)
+        .withColumn("doc_id", F.col("doc_id").cast(kind))
         .withColumnRenamed("doc_id", id)
     )

@@ -9,9 +9,9 @@ An instance cuts the domain of elements into n1 first-level partitions, and each
 n1 > k / 2 some partition holds at most one difference, so dropping one of its cells leaves equal
 projections: the signatures are, for every partition, its three subsets of two cells. An empty
 projection says nothing and gives no signature. A set in which more than k / 2 partitions have
-elements in two cells or more still meets every partner. A pair could only be missed if both sets lack that; such
-sets also give the whole projections of 2 (k + 1), 4 (k + 1), ... partitions, up to the first number
-of which more than k are not empty.
+elements in two cells or more still meets every partner (here k may be the set's own, smaller one). A
+pair could only be missed if both sets lack that; such sets also give the whole projections of
+2 (k + 1), 4 (k + 1), ... partitions, up to the first number of which more than k are not empty.
 """
 
 from functools import lru_cache
@@ -90,7 +90,11 @@ def partitions(k: int) -> int:
 
 def signatures(elements: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
     """The signatures of one set as 64-bit hashes."""
+    if percent <= 50:
+        raise ValueError("signatures are for similarities above 50 percent")
     out = []
+    # The most this set can differ from any partner, which its band's k may exceed.
+    own = differences(len(elements), largest_partner(len(elements), percent), percent)
     value = mix(elements, 101 + seed)
     place = mix(elements, 202 + seed)
     for band, k in instances(len(elements), percent):
@@ -108,7 +112,7 @@ def signatures(elements: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
         out.append(mix(rest ^ mix(name, 3), 4 + seed)[others > 0])
         solid = int((filled.sum(axis=1) > 1).sum())
         scheme = 0
-        while scheme == 0 and solid <= k // 2 or scheme and full <= k:
+        while scheme == 0 and solid <= own // 2 or scheme and full <= own:
             scheme += 1
             n = (k + 1) << scheme
             part = (mix(place, scheme) % np.uint64(n)).astype(np.int64)
