@@ -130,7 +130,8 @@ def test_packing(spark, library, group):
     lengths = np.array([r.length for r in got])
     if group > len(got):
         assert len(filled) == best_fit_decreasing(lengths, 512)[2]
-    assert len(filled) <= bins_needed(lengths, 512) * 1.1 + 1
+    # A certified group may still waste what rounding up its own bound costs, under a sequence each.
+    assert len(filled) <= bins_needed(lengths, 512) + -(-len(got) // group)
 
 
 def test_packing_of_nothing(spark):
