@@ -1,5 +1,7 @@
 """Text to DATE and calendar pieces. Everything stays DATE, so no session time zone matters."""
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +15,22 @@ def parse_iso_date(text: Column) -> Column:
     return F.trim(text).try_cast("date")
 
 
-def parse_mixed_date(text: Column) -> Column:
-    """DATE from either ``YYYY-MM-DD`` or ``DD-Mon-YYYY`` text, NULL for anything else."""
+# How a date that is not ISO may be spelled, shape -> pattern.
+FORMATS = {"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$": "d-MMM-yyyy"}
+
+
+def parse_mixed_date(text: Column, formats: Mapping[str, str] = FORMATS) -> Column:
+    """DATE from ``YYYY-MM-DD`` text or the first of ``formats`` whose shape fits; else NULL.
+
+    ``formats`` maps a regular expression to a date pattern. Letter case of month names and
+    the choice of ``-`` or space do not matter.
+    """
     trimmed = F.trim(text)
     spelled_out = F.initcap(F.replace(trimmed, F.lit("-"), F.lit(" ")))
-    return F.when(trimmed.rlike("^[0-9]{4}-"), parse_iso_date(text)).when(
-        trimmed.rlike("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$"),
-        F.try_to_date(spelled_out, "d MMM yyyy"),
-    )
+    day = F.when(trimmed.rlike("^[0-9]{4}-"), parse_iso_date(text))
+    for shape, pattern in formats.items():
+        day = day.when(trimmed.rlike(shape), F.try_to_date(spelled_out, pattern.replace("-", " ")))
+    return day
 
 
 def month_of(day: Column) -> Column:

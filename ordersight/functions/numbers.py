@@ -9,14 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _exactly(value: Column, kind: str) -> Column:
+    """``value`` as a decimal type; an error where digits would be lost."""
+    cut = value.cast(kind)
+    lossless = value.isNull() | (cut.cast("double") == value.cast("double"))
+    return F.when(lossless, cut).otherwise(F.raise_error(F.lit(f"a sum does not fit {kind}")))
+
+
 def exact_ratio(numerator: Column, denominator: Column, places: int) -> Column:
     """``numerator / denominator`` rounded to ``places``; NULL when the denominator is 0 or NULL.
 
-    Both may be sums of money with two decimals. The rounding is whole-number division, so
-    it is exact for denominators of any size.
+    Both may be sums with up to six decimals; more are an error. The rounding is whole-number
+    division, so it is exact for denominators of any size.
     """
-    num = numerator.cast("decimal(38,2)")
-    den = F.nullif(denominator.cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)"))
+    num = _exactly(numerator, "decimal(38,6)")
+    den = F.nullif(_exactly(denominator, "decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
     doubled = F.abs(num) * F.lit(2 * 10**places) + F.abs(den)
     steps = F.call_function("div", doubled, F.abs(den) * F.lit(2))
     sign = F.signum(num.cast("double")) * F.signum(den.cast("double"))
@@ -28,18 +35,18 @@ def exact_ratio(numerator: Column, denominator: Column, places: int) -> Column:
 
 def percent(part: Column, whole: Column, places: int = 2) -> Column:
     """``part`` as a percentage of ``whole``."""
-    return exact_ratio(part.cast("decimal(36,2)") * F.lit(100), whole, places)
+    return exact_ratio(_exactly(part, "decimal(36,6)") * F.lit(100), whole, places)
 
 
 def per_count(total: Column, count: Column, places: int) -> Column:
     """``total`` for each of ``count`` rows, rounded; NULL for no rows.
 
-    The decimal quotient keeps 16 places. A quotient that is no tie is further than that from
-    one for fewer than 10**14 rows, so rounding it again is exact, and cheaper than
-    ``exact_ratio``.
+    ``total`` may have up to four decimals; more are an error. The decimal quotient keeps 16
+    places. A quotient that is no tie is further than that from one for fewer than 10**14 rows
+    (10**12 with four decimals), so rounding it again is exact, and cheaper than ``exact_ratio``.
     """
     rows = F.nullif(count.cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
-    return F.round(total.cast("decimal(24,2)") / rows, places)
+    return F.round(_exactly(total, "decimal(26,4)") / rows, places)
 
 
 def mean(value: Column, places: int) -> Column:
@@ -49,18 +56,19 @@ def mean(value: Column, places: int) -> Column:
 
 def _spread(count: Column, total: Column, squares: Column) -> Column:
     n = count.cast("decimal(19,0)")
-    s = total.cast("decimal(19,0)")
-    return n * squares.cast("decimal(19,0)") - s * s
+    s = total.cast("decimal(22,3)")
+    return n * squares.cast("decimal(28,6)") - s * s
 
 
 def sample_variance(count: Column, total: Column, squares: Column, places: int) -> Column:
-    """Variance with n-1, from count, sum and sum of squares of integers; NULL for one value."""
+    """Variance with n-1, from count, sum and sum of squares of values with up to three
+    decimals; NULL for one value."""
     n = count.cast("decimal(18,0)")
     return exact_ratio(_spread(count, total, squares), n * (n - F.lit(1)), places)
 
 
 def variance(count: Column, total: Column, squares: Column) -> Column:
-    """Population variance, unrounded, from count, sum and sum of squares of integers."""
+    """Population variance, unrounded, from count, sum and sum of squares of such values."""
     n = count.cast("decimal(18,0)")
     return _spread(count, total, squares).cast("double") / F.nullif(
         (n * n).cast("double"), F.lit(0.0)

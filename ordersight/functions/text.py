@@ -19,8 +19,9 @@ def normalize_key(text: Column, aliases: Mapping[str, str] | None = None) -> Col
 
 
 def title_key(text: Column) -> Column:
-    """Display form of a key: trimmed, each word capitalised."""
-    return F.initcap(F.trim(text))
+    """Display form of a key: trimmed, each run of letters and digits capitalised."""
+    runs = F.regexp_extract_all(F.trim(text), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def impute(value: Column, fill) -> Column:

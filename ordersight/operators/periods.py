@@ -7,7 +7,7 @@ a calendar bounds their number whatever the size of the facts.
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions import mean, percent
@@ -124,13 +124,23 @@ def spikes(
 
 
 def distinct_in_periods(
-    period: str, members: Mapping[str, date], identifier: str
-) -> list[Column]:
-    """Aggregates counting an identifier per named period; rows must be distinct by it.
+    facts: DataFrame,
+    keys: Sequence[str],
+    period: str,
+    members: Mapping[str, date],
+    identifier: str,
+    sums: Sequence[str] = (),
+) -> DataFrame:
+    """Distinct identifiers per key in each named period, beside sums of other columns.
 
-    Three COUNT DISTINCTs would copy every row three times first; de-duplicate once instead.
+    Three COUNT DISTINCTs would copy every row three times first; rows are merged per
+    identifier once instead.
     """
-    return [
+    once = facts.groupBy(identifier, period, *keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(c) for c in sums]
+    )
+    counts = [
         F.count(F.when(F.col(period) == F.lit(start), F.col(identifier))).alias(name)
         for name, start in members.items()
     ]
+    return once.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *counts)

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.operators.branches import for_branches
-from ordersight.session import stored
 
 Ties = Literal["none", "rank", "dense"]
 
@@ -68,8 +67,6 @@ def join_ranks(
     """Rows of ``df`` whose value is in ``ranks``, with its rank; NULL equals NULL."""
     keys = [*within, by]
     renamed = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in keys], name)
-    if not within:
-        renamed = F.broadcast(renamed)  # at most k rows, see rank_table
     match = F.lit(True)
     for c in keys:
         match = match & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
@@ -113,37 +110,47 @@ def global_rank(
     descending: bool = True,
     nulls: str | None = None,
     name: str = "rnk",
+    parts: int = 256,
 ) -> DataFrame:
     """Every row of an aggregate with its rank over all rows, without a single-task window.
 
-    Distinct values are range-partitioned and numbered inside their partition; the offset of
-    a partition is the row count of those before it. The aggregate is stored so that it is
-    computed once, the partitioned values because partition numbers must not change between
-    the two reads.
+    Distinct values (numbers or dates) are cut into ``parts`` ranges at approximate quantiles
+    and numbered inside their range; the offset of a range is the row count of those before
+    it. One row carries the cuts together with the offsets they lead to, so both always belong
+    together, and neither where the cuts fall nor a lost executor changes a rank.
     """
     order = sort_order(by, descending, nulls)
-    df = stored(df)
-    values = stored(
-        df.groupBy(by)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .repartitionByRange(order)
-        .withColumn("_part", F.spark_partition_id())
+    df = for_branches(df)
+    values = for_branches(df.groupBy(by).agg(F.count(F.lit(1)).alias("_rows")))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = values.agg(F.percentile_approx(by, shares, 20 * parts).alias("_cuts"))
+
+    def in_parts(one_row: DataFrame) -> DataFrame:
+        below = F.size(F.filter("_cuts", lambda cut: cut < F.col(by)))
+        part = F.when(F.col(by).isNotNull(), below)  # NULL is a range of its own
+        return values.crossJoin(F.broadcast(one_row)).withColumn("_part", part)
+
+    sizes = in_parts(cuts).groupBy("_part").agg(
+        F.sum("_rows").alias("_size"), F.first("_cuts").alias("_cuts")
     )
-    # One row per partition, so this window is as small as the partition count.
-    sizes = values.groupBy("_part").agg(F.sum("_rows").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    # One row per range, so this window is as small as their number.
+    before = Window.orderBy(sort_order("_part", descending, nulls)).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    offset = F.struct(
+        F.coalesce("_part", F.lit(-1)).alias("part"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("rows"),
+    )
+    offsets = sizes.select("_cuts", offset.alias("_offset")).agg(
+        F.first("_cuts").alias("_cuts"),
+        F.map_from_entries(F.collect_list("_offset")).alias("_offsets"),
     )
     ahead = (
         Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    ranks = (
-        values.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
-        .join(F.broadcast(offsets), "_part")
-        .select(
-            F.col(by).alias("_value"),
-            (F.col("_offset") + F.col("_ahead") + 1).cast("long").alias(name),
-        )
+    inside = F.coalesce(F.sum("_rows").over(ahead), F.lit(0))
+    offset_of = F.col("_offsets")[F.coalesce("_part", F.lit(-1))]
+    ranks = in_parts(offsets).select(
+        F.col(by).alias("_value"), (offset_of + inside + 1).cast("long").alias(name)
     )
     return df.join(ranks, F.col(by).eqNullSafe(F.col("_value"))).select(*df.columns, name)

@@ -2,13 +2,23 @@
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def rating_spread(rating: str) -> list[Column]:
-    """Count, sum and sum of squares of a whole-number rating: enough for mean and variance."""
-    value = F.col(rating).cast("long")
+def rating_spread(df: DataFrame, rating: str) -> list[Column]:
+    """Count, sum and sum of squares of a rating: enough for mean and variance.
+
+    The rating must be a whole number or a decimal with up to three places.
+    """
+    kind = df.schema[rating].dataType
+    if isinstance(kind, T.IntegralType):
+        value = F.col(rating).cast("long")
+    elif isinstance(kind, T.DecimalType) and kind.scale <= 3:
+        value = F.col(rating)
+    else:
+        raise TypeError(f"{rating} is {kind.simpleString()}: cast it to an integer or a decimal")
     return [
         F.count(value).alias("rated"),
         F.sum(value).alias("rating_sum"),

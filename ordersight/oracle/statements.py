@@ -202,8 +202,8 @@ order by cents desc nulls first, customer_id limit 5""",
     "q04_avg_delivery_time":
         f"select {AVG_MINUTES} as avg_delivery_minutes from fd_orders where is_delivered",
     "q05_top_city_revenue": f"""
-select case city_key when 'middle east' then 'Middle East'
-    else upper(city_key[1]) || city_key[2:] end as city_name,
+select array_to_string([upper(x[1]) || x[2:] for x in
+    regexp_extract_all(city_key, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')], '') as city_name,
   {money("sum(cents)")} as total_revenue
 from fd_orders join fd_restaurants using (restaurant_id) where is_delivered
 group by city_key order by sum(cents) desc nulls first, 1 limit 1""",

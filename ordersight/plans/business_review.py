@@ -67,13 +67,18 @@ def _city_restaurants(t: Tables, city: str) -> DataFrame:
 def city_frequency(t: Tables, city: str = "chennai") -> DataFrame:
     """Active customers, orders and orders per customer by month, for one restaurant city."""
     places = _city_restaurants(t, city).select("restaurant_id")
-    monthly = (
+    per_restaurant = (
         delivered(t.orders)
-        .join(places, "restaurant_id")
+        .groupBy("restaurant_id", MONTH, "customer_id")
+        .agg(F.count(F.lit(1)).alias("orders"))
+    )
+    monthly = (
+        per_restaurant.join(places, "restaurant_id")
+        .groupBy(MONTH, "customer_id")
+        .agg(F.sum("orders").alias("orders"))
         .groupBy(MONTH)
         .agg(
-            F.count_distinct("customer_id").alias("active_customers"),
-            F.count(F.lit(1)).alias("orders"),
+            F.count("customer_id").alias("active_customers"), F.sum("orders").alias("orders")
         )
     )
     return _by_month(

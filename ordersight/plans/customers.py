@@ -22,6 +22,7 @@ from ordersight.operators import (
     top_k,
     with_total,
 )
+from ordersight.operators.branches import for_branches
 from ordersight.operators.customers import average_of
 from ordersight.plans.common import (
     CITY_ALIASES,
@@ -102,20 +103,18 @@ def cancel_rate_min_orders(t: Tables, min_orders: int = 3) -> DataFrame:
 
 def favourite_restaurant(t: Tables) -> DataFrame:
     """Restaurants a repeat customer ordered from most, all of them where several tie."""
-    pairs = t.orders.groupBy("customer_id", "restaurant_id").agg(
-        F.count("order_id").alias("restaurant_orders")
+    # Dealt by customer once, for the maximum, for the join with it and for the names.
+    pairs = for_branches(
+        t.orders.groupBy("customer_id", "restaurant_id")
+        .agg(F.count("order_id").alias("restaurant_orders"))
+        .repartition("customer_id")
     )
-    most = (
-        pairs.groupBy("customer_id")
-        .agg(
-            F.sum("restaurant_orders").alias("_orders"),
-            F.max("restaurant_orders").alias("restaurant_orders"),
-        )
-        .filter(F.col("_orders") > 1)
-        .drop("_orders")
+    most = pairs.groupBy("customer_id").agg(
+        F.sum("restaurant_orders").alias("_orders"), F.max("restaurant_orders").alias("_most")
     )
     return (
-        pairs.join(most, ["customer_id", "restaurant_orders"])
+        pairs.join(most.filter(F.col("_orders") > 1), "customer_id")
+        .filter(F.col("restaurant_orders") == F.col("_most"))
         .join(customer_names(t.customers), "customer_id")
         .join(t.restaurants.select("restaurant_id", "restaurant_name"), "restaurant_id", "left")
         .select(
@@ -208,7 +207,10 @@ def cancellation_before_churn(
     """
     orders = t.orders
     if scope is not None:
-        orders = orders.filter(F.col("order_dt").between(*scope))
+        months = [day.replace(day=1) for day in scope]  # these prune partitions
+        orders = orders.filter(
+            F.col("order_dt").between(*scope) & F.col("order_month").between(*months)
+        )
     lost = only_in_period(
         orders, "customer_id", "order_month", only, is_cancelled(), "had_cancellation"
     )

@@ -24,6 +24,7 @@ from ordersight.operators import (
     weighted_score,
     with_total,
 )
+from ordersight.operators.branches import for_branches
 from ordersight.operators.ranking import join_ranks
 from ordersight.plans.common import (
     CANCELLED,
@@ -37,7 +38,6 @@ from ordersight.plans.common import (
     ratings_by,
     restaurant_names,
 )
-from ordersight.session import stored
 from ordersight.sources.tables import Tables
 
 
@@ -199,28 +199,21 @@ def unrated_by_agent(t: Tables) -> DataFrame:
 def slowest_orders(t: Tables, k: int = 10, nulls: str | None = None) -> DataFrame:
     """Delivered attempts of the slowest orders, with how often place and agent recur there.
 
-    Orders without minutes rank first unless ``nulls='last'``. The rank counts attempts, so
-    it is found from one count per order; only orders at the ranked minutes then meet their
-    attempts. Those rows are stored, as four branches read them; counting by aggregate and
-    join rather than by window keeps a city of many ties out of a single task.
+    Orders without minutes rank first unless ``nulls='last'``. Each fact is shuffled once: the
+    rank and the rows at the ranked minutes read the same exchanges, and so do the four
+    branches over those rows. Counting by aggregate and join rather than by window keeps a
+    city of many ties out of a single task.
     """
-    attempts = delivered_attempts(t.deliveries)
     restaurants = t.restaurants.select("restaurant_id", "restaurant_name", "city_key")
-    orders = (
+    attempts = for_branches(
         delivered(t.orders)
         .select("order_id", "restaurant_id", "delivery_time_minutes")
         .join(restaurants, "restaurant_id")
+        .join(delivered_attempts(t.deliveries).select("order_id", "agent_id"), "order_id")
     )
-    weighted = orders.join(
-        attempts.groupBy("order_id").agg(F.count(F.lit(1)).alias("attempts")), "order_id"
-    )
-    ranks = rank_table(
-        weighted, "delivery_time_minutes", k, nulls=nulls, weight="attempts"
-    )
-    slow = stored(
-        join_ranks(orders, ranks, "delivery_time_minutes").join(
-            attempts.select("order_id", "agent_id"), "order_id"
-        )
+    ranks = rank_table(attempts, "delivery_time_minutes", k, nulls=nulls)
+    slow = for_branches(
+        join_ranks(attempts, ranks, "delivery_time_minutes").repartition("order_id", "agent_id")
     )
     out = slow
     for key, name in (
@@ -291,13 +284,12 @@ def city_favourite_category(
     homes = t.customers.select(
         "customer_id", normalize_key(F.col("city"), aliases).alias("city")
     ).filter(F.col("city").isin(*cities))
-    pairs = t.orders.groupBy("customer_id", "restaurant_id").agg(
-        F.count("order_id").alias("_orders")
-    )
+    # The cities keep few orders, so they come before the first aggregate.
     per_restaurant = (
-        pairs.join(homes, "customer_id")
+        t.orders.select("customer_id", "restaurant_id", "order_id")
+        .join(homes, "customer_id")
         .groupBy("city", "restaurant_id")
-        .agg(F.sum("_orders").alias("_orders"))
+        .agg(F.count("order_id").alias("_orders"))
     )
     per_category = (
         per_restaurant.join(t.restaurants.select("restaurant_id", "category"), "restaurant_id")
@@ -309,10 +301,9 @@ def city_favourite_category(
 
 def most_consistent_agents(t: Tables) -> DataFrame:
     """Agents sharing the lowest sample variance of delivered ratings; unknown variance last."""
-    per_agent = (
-        delivered_attempts(t.deliveries)
-        .groupBy("agent_id")
-        .agg(F.count("order_id").alias("delivery_count"), *rating_spread("delivery_rating"))
+    attempts = delivered_attempts(t.deliveries)
+    per_agent = attempts.groupBy("agent_id").agg(
+        F.count("order_id").alias("delivery_count"), *rating_spread(attempts, "delivery_rating")
     )
     spread = sample_variance(F.col("rated"), F.col("rating_sum"), F.col("rating_squares"), 2)
     variances = per_agent.select("agent_id", "delivery_count", spread.alias("rating_variance"))
@@ -393,7 +384,7 @@ def agent_leaderboard(
         t.deliveries.select("order_id", "agent_id", "delivery_rating")
         .join(orders, "order_id", "left")
         .groupBy(*keys, "agent_id", "order_id")
-        .agg(F.max("_known").alias("_known"), *rating_spread("delivery_rating"))
+        .agg(F.max("_known").alias("_known"), *rating_spread(t.deliveries, "delivery_rating"))
     )
     metrics = (
         per_order.groupBy(*keys, "agent_id")
@@ -448,21 +439,25 @@ def city_restaurant_pivot(
         .join(ratings_by(t.deliveries, "order_id"), "order_id", "left")
     )
     minutes = F.col("delivery_time_minutes")
-    distinct_orders = per_order.groupBy(
-        "order_id", "order_month", "restaurant_id", "restaurant_name"
-    ).agg(
-        F.sum("rating_sum").alias("rating_sum"),
-        F.sum("rated").alias("rated"),
-        F.sum(minutes * attempt_weight()).alias("_minutes"),
-        F.sum(F.when(minutes.isNotNull(), attempt_weight())).alias("_timed"),
+    weighted = per_order.withColumns(
+        {
+            "_minutes": minutes * attempt_weight(),
+            "_timed": F.when(minutes.isNotNull(), attempt_weight()),
+        }
     )
     names = ("first_month_orders", "second_month_orders", "third_month_orders")
-    return (
-        distinct_orders.groupBy("restaurant_id", "restaurant_name")
-        .agg(
-            per_count(F.sum("rating_sum"), F.sum("rated"), 2).alias("avg_rating"),
-            per_count(F.sum("_minutes"), F.sum("_timed"), 2).alias("avg_delivery_minutes"),
-            *distinct_in_periods("order_month", dict(zip(names, months)), "order_id"),
-        )
-        .orderBy("third_month_orders", "restaurant_id")
+    per_restaurant = distinct_in_periods(
+        weighted,
+        ["restaurant_id", "restaurant_name"],
+        "order_month",
+        dict(zip(names, months)),
+        "order_id",
+        ["rating_sum", "rated", "_minutes", "_timed"],
     )
+    return per_restaurant.select(
+        "restaurant_id",
+        "restaurant_name",
+        per_count(F.col("rating_sum"), F.col("rated"), 2).alias("avg_rating"),
+        per_count(F.col("_minutes"), F.col("_timed"), 2).alias("avg_delivery_minutes"),
+        *names,
+    ).orderBy("third_month_orders", "restaurant_id")
