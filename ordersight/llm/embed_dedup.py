@@ -30,6 +30,7 @@ from ordersight.llm.shingles import mix
 from ordersight.llm.store import stored, with_package
 
 CHUNK = 128
+BLOCK = ["group", "low", "high"]
 
 
 @lru_cache(maxsize=64)
@@ -98,39 +99,65 @@ def hashed(
             )
 
 
-def block_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    unit = np.stack(rows["unit"].to_numpy())
-    names = np.stack(rows["codes"].to_numpy())
-    bucket = rows["group"].iloc[0]
-    copies, reps = rows["copies"].to_numpy(), rows["rep"].to_numpy()
-    close = unit @ unit.T >= least
-    np.fill_diagonal(close, False)
-    if rows["low"].iloc[0] != rows["high"].iloc[0]:
-        cell = rows["cell"].to_numpy()
-        close &= cell[:, None] != cell[None, :]
+def sorted_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole blocks and the places where blocks begin and end.
+
+    Rows come sorted by block; the last block of a batch may go on in the next.
+    """
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        key = rows[BLOCK].to_numpy()
+        edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        done = edges[-1] if len(edges) else 0
+        if done:
+            yield rows.iloc[:done], np.concatenate([[0], edges])
+        rest = rows.iloc[done:]
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
+def block_links(
+    close: np.ndarray, names: np.ndarray, bucket: int, copies: np.ndarray, reps: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked classes of a block, their links found here and the smallest class they reach."""
     left, right = np.nonzero(close)
     # Tables in order, and the smaller name first within one: the first bucket two classes share.
-    seen = np.zeros(len(left), bool)
-    mine = np.zeros(len(left), bool)
-    for t in range(0, names.shape[1], 2):
-        a, b = np.sort(names[left, t : t + 2], axis=1), names[right, t : t + 2]
-        for j in range(2):
-            both = (a[:, j : j + 1] == b).any(axis=1) & ~seen
-            mine |= both & (a[:, j] == bucket)
-            seen |= both
-    left, right = left[mine], right[mine]
-    links = np.bincount(left, copies[right], len(rows)).astype(np.int64)
-    root = np.arange(len(rows))
+    a = np.sort(names[left].reshape(len(left), -1, 2), axis=2)
+    b = names[right].reshape(len(left), -1, 2)
+    shared = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3).reshape(len(left), -1)
+    first = a.reshape(len(left), -1)[np.arange(len(left)), shared.argmax(axis=1)]
+    left, right = left[first == bucket], right[first == bucket]
+    links = np.bincount(left, copies[right], len(reps)).astype(np.int64)
+    near = reps.copy()
     while len(left):
-        low = root.copy()
-        np.minimum.at(low, left, root[right])
-        low = np.minimum(low, low[low])
-        if (low == root).all():
+        low = near.copy()
+        np.minimum.at(low, left, near[right])
+        if (low == near).all():
             break
-        root = low
-    frame = pd.DataFrame({"rep": reps, "links": links, "root": root})
-    frame["near"] = frame.groupby("root")["rep"].transform("min")
-    return frame.loc[frame["links"] > 0, ["rep", "links", "near"]]
+        near = low
+    return reps[links > 0], links[links > 0], near[links > 0]
+
+
+def links_of_blocks(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    for rows, edges in sorted_blocks(batches):
+        whole = {c: rows[c].to_numpy() for c in rows.columns}
+        found = []
+        for begin, end in zip(edges[:-1], edges[1:]):
+            if end - begin < 2:
+                continue
+            block = {c: v[begin:end] for c, v in whole.items()}
+            unit = np.stack(block["unit"])
+            close = unit @ unit.T >= least
+            np.fill_diagonal(close, False)
+            if block["low"][0] != block["high"][0]:
+                close &= block["cell"][:, None] != block["cell"][None, :]
+            if close.any():
+                names = np.stack(block["codes"])
+                found.append(block_links(close, names, block["group"][0], block["copies"], block["rep"]))
+        if found:
+            rep, links, near = map(np.concatenate, zip(*found))
+            yield pd.DataFrame({"rep": rep, "links": links, "near": near})
 
 
 def embedding_links(
@@ -198,8 +225,10 @@ def embedding_links(
     found = stored(
         blocks.join(whole, F.col("member") == F.col("_rep"))
         .withColumnRenamed("_rep", "rep")
-        .groupBy("group", "low", "high")
-        .applyInPandas(lambda rows: block_links(rows, least), "rep bigint, links bigint, near bigint"),
+        .select(*BLOCK, "cell", "rep", "copies", "unit", "codes")
+        .repartition(*BLOCK)
+        .sortWithinPartitions(*BLOCK)
+        .mapInPandas(partial(links_of_blocks, least=least), "rep bigint, links bigint, near bigint"),
         "embed-links",
     )
     groups = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")).filter("a <> b"))
