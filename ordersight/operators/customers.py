@@ -11,9 +11,16 @@ from ordersight.operators.shares import share_of_total, with_total
 
 
 def period_retention(
-    facts: DataFrame, key: str, period: str, first: date, last: date, **measures: Column
+    facts: DataFrame,
+    key: str,
+    period: str,
+    first: date,
+    last: date,
+    *,
+    labels: tuple[str, str] = ("retained", "churned"),
+    **measures: Column,
 ) -> DataFrame:
-    """Keys active in ``first``, flagged by whether they were active in ``last`` too.
+    """Keys active in ``first``, labelled by whether they were active in ``last`` too or not.
 
     One pass: both memberships are conditional aggregates, so no set is joined to another.
     ``measures`` are further aggregates over all rows of the key.
@@ -23,7 +30,7 @@ def period_retention(
         F.max(F.col(period) == F.lit(last)).alias("_last"),
         *[m.alias(n) for n, m in measures.items()],
     )
-    status = F.when(F.col("_last"), "retained").otherwise("churned")
+    status = F.when(F.col("_last"), labels[0]).otherwise(labels[1])
     return seen.filter("_first").select(key, status.alias("retention_status"), *measures)
 
 

@@ -330,7 +330,7 @@ from fd_orders where is_delivered and order_id not in (select order_id from fd_d
     "q31_churned_customers": f"""
 with gone as (select customer_id from fd_orders where is_delivered and month = {JAN}
   except select customer_id from fd_orders where is_delivered and month = {MAR})
-select customer_id, customer_name, 'churned' as retention_status,
+select customer_id, customer_name, 'churned_customer' as retention_status,
   count(*) over () as churned_customers
 from gone join fd_customers using (customer_id)""",
     "q32_top3_share": best_by(
@@ -381,8 +381,9 @@ select customer_id, order_id, c.home as customer_city, r.city_key as restaurant_
 from fd_orders join fd_customers c using (customer_id) join fd_restaurants r using (restaurant_id)
 where c.home <> r.city_key""",
     "q40_rating_by_speed_bucket": f"""
-select case when minutes >= 60 then 'very_slow' when minutes >= 45 then 'slow'
-    when minutes >= 30 then 'medium' when minutes >= 0 then 'fast' else 'unknown' end as speed_bucket,
+select case when minutes >= 60 then 'very_slow_delivery' when minutes >= 45 then 'slow_delivery'
+    when minutes >= 30 then 'medium_delivery' when minutes >= 0 then 'fast_delivery'
+    else 'unknown' end as speed_bucket,
   {AVG_RATING} as avg_rating
 from fd_orders left join fd_deliveries using (order_id) where is_delivered group by 1""",
     "q41_join_inflation": f"""
@@ -397,8 +398,8 @@ select {money("naive.c")} as naive_revenue, {money("grain.c")} as order_grain_re
     "q44_frequency_segments": f"""
 with spend as (select count(*) as n, sum(cents) as cents from fd_orders where is_delivered
   group by customer_id),
-segments as (select case when n = 1 then 'one_time' when n < 4 then 'occasional'
-    else 'regular' end as customer_type, sum(cents) as cents from spend group by 1)
+segments as (select case when n = 1 then 'One_time_customer' when n < 4 then 'Occasional_customer'
+    else 'Regular_customer' end as customer_type, sum(cents) as cents from spend group by 1)
 select customer_type, {money("cents")} as segment_revenue,
   {pct("cents", "(select sum(cents) from spend)")} as revenue_share_pct
 from segments""",
@@ -416,7 +417,7 @@ join fd_restaurants r using (restaurant_id) where a.city_key <> r.city_key""",
 with months as (select month, {money("cents")} as revenue,
     lag({money("cents")}) over (order by month) as before,
     {money("cents - lag(cents) over (order by month)")} as change from ({MONTHLY}))
-select case month when {FEB} then 'jan-feb' when {MAR} then 'feb-mar' end as cohort,
+select case month when {FEB} then 'jan-feb' when {MAR} then 'feb-march' end as cohort,
   100.0::double * change / nullif(before, 0) as revenue_growth
 from months""",
     "q48_cancel_leads_churn": f"""

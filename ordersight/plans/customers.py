@@ -103,7 +103,7 @@ def cancel_rate_min_orders(t: Tables, min_orders: int = 3) -> DataFrame:
 
 def favourite_restaurant(t: Tables) -> DataFrame:
     """Restaurants a repeat customer ordered from most, all of them where several tie."""
-    # Dealt by customer once, for the maximum, for the join with it and for the names.
+    # Dealt by customer for the maximum, the join with it and the names alike.
     pairs = for_branches(
         t.orders.groupBy("customer_id", "restaurant_id")
         .agg(F.count("order_id").alias("restaurant_orders"))
@@ -114,7 +114,7 @@ def favourite_restaurant(t: Tables) -> DataFrame:
     )
     return (
         pairs.join(most.filter(F.col("_orders") > 1), "customer_id")
-        .filter(F.col("restaurant_orders") == F.col("_most"))
+        .filter(F.col("restaurant_orders") >= F.col("_most"))  # "=" would become a join key
         .join(customer_names(t.customers), "customer_id")
         .join(t.restaurants.select("restaurant_id", "restaurant_name"), "restaurant_id", "left")
         .select(
@@ -147,14 +147,21 @@ def signup_cohorts(t: Tables) -> DataFrame:
     )
 
 
+# Labels of customers who came back and who did not.
+RETENTION_LABELS = ("retained_customer", "churned_customer")
+
+
 def churned_customers(
-    t: Tables, first: date = date(2024, 1, 1), last: date = date(2024, 3, 1)
+    t: Tables,
+    first: date = date(2024, 1, 1),
+    last: date = date(2024, 3, 1),
+    labels: tuple[str, str] = RETENTION_LABELS,
 ) -> DataFrame:
     """Customers with a delivered order in the first month and none in the last, and how many."""
     months = delivered(t.orders).filter(F.col("order_month").isin(first, last))
     churned = (
-        period_retention(months, "customer_id", "order_month", first, last)
-        .filter(F.col("retention_status") == "churned")
+        period_retention(months, "customer_id", "order_month", first, last, labels=labels)
+        .filter(F.col("retention_status") == labels[1])
         .join(customer_names(t.customers), "customer_id")
         .select("customer_id", "customer_name", "retention_status")
         .distinct()

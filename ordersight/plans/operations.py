@@ -310,15 +310,14 @@ def most_consistent_agents(t: Tables) -> DataFrame:
     return top_k(variances, "rating_variance", 1, ties="dense", descending=False)
 
 
-def rating_by_speed(t: Tables) -> DataFrame:
+# Labels of deliveries under 30, 45 and 60 minutes and above.
+SPEED_LABELS = ("fast_delivery", "medium_delivery", "slow_delivery", "very_slow_delivery")
+
+
+def rating_by_speed(t: Tables, labels: Sequence[str] = SPEED_LABELS) -> DataFrame:
     """Average rating of delivered orders by how long they took."""
     ratings = ratings_by(t.deliveries, "order_id")
-    bucket = bucketize(
-        F.col("delivery_time_minutes"),
-        (30, 45, 60),
-        ("fast", "medium", "slow", "very_slow"),
-        "unknown",
-    )
+    bucket = bucketize(F.col("delivery_time_minutes"), (30, 45, 60), labels, "unknown")
     return (
         delivered(t.orders)
         .select("order_id", bucket.alias("speed_bucket"))

@@ -1,5 +1,6 @@
 """Where revenue comes from: totals, leaders, concentration, spikes and growth."""
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -218,27 +219,33 @@ def revenue_spikes(t: Tables, k: int | None = None) -> DataFrame:
     return spikes(delivered(t.orders), "order_dt", "restaurant_id", k=k).drop("spike_rank")
 
 
-def frequency_segment_share(t: Tables) -> DataFrame:
+# Labels of customers by how often they ordered.
+FREQUENCY_LABELS = ("One_time_customer", "Occasional_customer", "Regular_customer")
+
+
+def frequency_segment_share(t: Tables, labels: Sequence[str] = FREQUENCY_LABELS) -> DataFrame:
     """Revenue share of customers with 1, 2-3, and 4 or more delivered orders."""
-    return frequency_segments(
-        sales_by(delivered(t.orders), "customer_id"),
-        "orders",
-        "revenue",
-        (1, 2, 4),
-        ("one_time", "occasional", "regular"),
-    )
+    sales = sales_by(delivered(t.orders), "customer_id")
+    return frequency_segments(sales, "orders", "revenue", (1, 2, 4), labels)
 
 
 def missing_revenue_exposure(t: Tables) -> DataFrame:
     return null_exposure(t.orders, ["restaurant_id"], "order_amount")
 
 
+# Labels of the second and third month of a quarter.
+GROWTH_LABELS = ("jan-feb", "feb-march")
+
+
 def growth_labelled(
-    t: Tables, second: date = date(2024, 2, 1), third: date = date(2024, 3, 1)
+    t: Tables,
+    second: date = date(2024, 2, 1),
+    third: date = date(2024, 3, 1),
+    labels: tuple[str, str] = GROWTH_LABELS,
 ) -> DataFrame:
     """Unrounded monthly growth of delivered revenue, two months of which carry a label."""
-    label = F.when(F.col("order_month") == F.lit(second), "jan-feb").when(
-        F.col("order_month") == F.lit(third), "feb-mar"
+    label = F.when(F.col("order_month") == F.lit(second), labels[0]).when(
+        F.col("order_month") == F.lit(third), labels[1]
     )
     monthly = period_kpis(delivered(t.orders), ["order_month"], ["revenue"])
     return period_growth(monthly, "order_month", "revenue", "revenue_growth", None).select(

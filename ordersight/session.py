@@ -1,8 +1,8 @@
-"""Session settings the plans rely on, and storing a frame that is read several times."""
+"""Session settings the plans rely on, and the folder for frames that are read several times."""
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,9 +28,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="ordersight-checkpoint-")
     context.setCheckpointDir(named)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and read it back from the checkpoint folder from then on."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()

@@ -18,7 +18,7 @@ def test_churned_are_in_the_first_month_and_not_in_the_last(spark):
     cancelled_return = [{"customer_id": 4, "order_date": "2024-03-09", "status": "cancelled"}]
     t = tables(spark, orders=orders + cancelled_return, customers=people(1, 2, 3, 4))
     rows = sorted(values(customers.churned_customers(t)))
-    assert rows == [(1, "c1", "churned", 2), (4, "c4", "churned", 2)]
+    assert rows == [(1, "c1", "churned_customer", 2), (4, "c4", "churned_customer", 2)]
 
 
 def test_churn_profile_weighs_orders_by_attempts_or_not(spark):
@@ -37,7 +37,11 @@ def test_segments(spark):
     for customer in (1, 2, 3, 4):
         orders += orders_of(*[(customer, "2024-01-05")] * customer)
     rows = sorted(values(revenue.frequency_segment_share(tables(spark, orders=orders))))
-    assert rows == [("occasional", 500.0, 50.0), ("one_time", 100.0, 10.0), ("regular", 400.0, 40.0)]
+    assert rows == [
+        ("Occasional_customer", 500.0, 50.0),
+        ("One_time_customer", 100.0, 10.0),
+        ("Regular_customer", 400.0, 40.0),
+    ]
 
 
 def test_repeat_buckets_count_customers_without_orders(spark):

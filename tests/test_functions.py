@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ordersight import functions as fn
+from ordersight.operators import rating_spread
 
 
 def texts(spark, *items):
@@ -26,7 +27,16 @@ def test_normalize_key_trims_lowers_and_maps_aliases(spark):
 
 
 def test_title_key(spark):
-    assert column(texts(spark, " middle EAST "), fn.title_key(F.col("v"))) == ["Middle East"]
+    df = texts(spark, " middle EAST ", "navi-mumbai", "o'NEIL", "", None)
+    titles = ["Middle East", "Navi-Mumbai", "O'Neil", "", None]
+    assert column(df, fn.title_key(F.col("v"))) == titles
+
+
+def test_parse_mixed_date_takes_other_formats(spark):
+    df = texts(spark, "2022-03-14", "14/02/2022", "14-Feb-2022")
+    slashes = {"^[0-9]{2}/[0-9]{2}/[0-9]{4}$": "dd/MM/yyyy"}
+    days = column(df, fn.parse_mixed_date(F.col("v"), slashes))
+    assert days == [date(2022, 3, 14), date(2022, 2, 14), None]
 
 
 def test_parse_mixed_date_knows_two_formats(spark):
@@ -101,6 +111,25 @@ def test_mean_skips_null_and_is_null_without_values(spark):
     assert [r.m for r in rows] == [Decimal("4.50"), None]
 
 
+def test_fractions_of_a_cent_count_and_finer_ones_are_refused(spark):
+    rows = [(Decimal("0.0050"),), (Decimal("0"),)]
+    df = spark.createDataFrame(rows, "v decimal(12,4)")
+    assert df.agg(fn.mean(F.col("v"), 2)).first()[0] == Decimal("0.00")
+    fine = df.select((F.col("v").cast("decimal(12,6)") + F.lit("0.000001").cast("decimal(12,6)")).alias("v"))
+    with pytest.raises(Exception, match="does not fit"):
+        fine.agg(fn.mean(F.col("v"), 2)).collect()
+
+
+def test_fractional_ratings_are_exact_and_floats_refused(spark):
+    df = spark.createDataFrame([(Decimal("4.5"),), (Decimal("3.5"),)], "r decimal(2,1)")
+    sums = df.agg(*rating_spread(df, "r"))
+    args = (F.col("rated"), F.col("rating_sum"), F.col("rating_squares"))
+    assert sums.first()[:2] == (2, Decimal("8.0"))
+    assert sums.select(fn.sample_variance(*args, 2)).first()[0] == Decimal("0.50")
+    with pytest.raises(TypeError):
+        rating_spread(df.select(F.col("r").cast("double").alias("r")), "r")
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.integers(1, 5), min_size=1, max_size=30))
 def test_variances_match_the_definition(spark, ratings):

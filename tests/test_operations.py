@@ -90,7 +90,13 @@ def test_speed_buckets(spark):
         deliveries=[{"order_id": i, "delivery_rating": i % 5 + 1} for i in range(1, 8)],
     )
     rows = dict(values(operations.rating_by_speed(t).select("speed_bucket", "avg_rating")))
-    assert rows == {"fast": 2.0, "medium": 3.5, "slow": 3.0, "very_slow": 2.0, "unknown": 3.0}
+    assert rows == {
+        "fast_delivery": 2.0,
+        "medium_delivery": 3.5,
+        "slow_delivery": 3.0,
+        "very_slow_delivery": 2.0,
+        "unknown": 3.0,
+    }
 
 
 def test_equal_restaurants_share_the_lead(spark):

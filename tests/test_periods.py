@@ -2,7 +2,7 @@ from datetime import date
 
 import pytest
 
-from ordersight.operators import period_growth, spikes
+from ordersight.operators import distinct_in_periods, period_growth, spikes
 from ordersight.plans import business_review, revenue
 from small import tables, values
 
@@ -22,7 +22,7 @@ def test_growth_of_the_quarter(spark):
     assert growth == [(None,), (-5.87,), (-34.19,)]
     labelled = values(revenue.growth_labelled(t))
     assert labelled[0] == (None, None)
-    assert [c for c, _ in labelled[1:]] == ["jan-feb", "feb-mar"]
+    assert [c for c, _ in labelled[1:]] == ["jan-feb", "feb-march"]
     assert labelled[1][1] == pytest.approx(-100 * 1300 / 22140)
 
 
@@ -85,6 +85,14 @@ def test_spikes_can_be_cut_at_a_rank(spark):
     assert {r.spike_date.day for r in top.collect()} == {2}
 
 
+def test_an_identifier_counts_once_a_period(spark):
+    day = date(2024, 1, 1)
+    rows = [("a", day, 1, 2), ("a", day, 1, 3), ("a", day, 2, None), ("b", None, 3, 4)]
+    df = spark.createDataFrame(rows, "k string, m date, id int, v int")
+    counted = distinct_in_periods(df, ["k"], "m", {"january": day}, "id", ["v"])
+    assert sorted(values(counted, "k", "v", "january")) == [("a", 5, 2), ("b", 4, 0)]
+
+
 def test_weekday_weekend(spark):
     days = ["2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08"]
     t = tables(spark, orders=[{"order_date": d, "order_amount": a} for a, d in enumerate(days)])

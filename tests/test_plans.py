@@ -43,6 +43,7 @@ def test_plan_shape_without_small_tables(spark, settings, key):
     plan = final_plan(contract.queries()[key](spark, SF))
     assert "Python" not in plan and "Pandas" not in plan
     assert "CartesianProduct" not in plan
+    assert "FileScan parquet" in plan  # a plan without scans would prove nothing
     # A fact table is read once, whatever the number of branches.
     for fact in ("o_orderkey", "o_orderstatus", "o_custkey", "l_orderkey", "l_suppkey"):
         assert len(re.findall(rf"FileScan parquet \[{fact}\b", plan)) <= 1
@@ -58,12 +59,51 @@ def test_only_aggregates_meet_in_one_task(spark, key):
     """What feeds a single-task exchange is an aggregate, never rows of a scan."""
     df = contract.queries()[key](spark, SF)
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("FileScan parquet" in line for line in lines)
     for position, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             below = next(x for x in lines[position + 1 :] if "Project" not in x)
             assert "Aggregate" in below, below
 
 
+@pytest.mark.parametrize("analysis", [operations.slowest_orders, revenue.agent_revenue_rank])
+def test_building_a_plan_starts_no_job(spark, analysis):
+    context = spark.sparkContext
+    context.setJobGroup("building", "building")
+    try:
+        analysis(tables(spark))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert list(context.statusTracker().getJobIdsForGroup("building")) == []
+
+
+def without_small_tables(spark, settings, key):
+    settings(**{name.replace(".", "__"): "-1" for name in JOIN_THRESHOLDS})
+    return final_plan(contract.queries()[key](spark, SF))
+
+
+def test_pairs_of_customer_and_restaurant_meet_names_without_another_exchange(spark, settings):
+    plan = without_small_tables(spark, settings, "q21_favourite_restaurant")
+    made = [
+        x
+        for x in plan.splitlines()
+        if "Exchange hashpartitioning(customer_id" in x and "ReusedExchange" not in x
+    ]
+    # By customer and restaurant, by customer for either side of the join, and the names.
+    assert len(made) <= 4 and "ReusedExchange" in plan
+
+
+def test_the_cities_come_before_the_first_count_of_orders(spark, settings):
+    plan = without_small_tables(spark, settings, "q28_city_favourite_category")
+    join = re.search(r"SortMergeJoin\S* \[customer_id", plan).start()
+    assert plan.index("partial_count(order_id") < join  # parents stand above their inputs
+
+
+def test_customers_are_counted_by_restaurant_before_the_join(spark, settings):
+    plan = without_small_tables(spark, settings, "b6_city_frequency")
+    assert "partial_count(1)" in plan[plan.index("SortMergeJoin") :]
+
+
 def test_top_k_uses_a_bounded_sort(spark):
     plan = final_plan(contract.queries()["q03_top_spenders"](spark, SF))
     assert "TakeOrderedAndProject" in plan

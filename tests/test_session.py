@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from ordersight.session import ensure_checkpoint_dir, stored, tune
+from ordersight.session import ensure_checkpoint_dir, tune
 
 
 def fake_session(master, current=None, named=None):
@@ -41,13 +41,6 @@ def test_local_mode_makes_a_scratch_folder():
     assert len(chosen) == 1
 
 
-def test_stored_cuts_the_lineage(spark):
-    df = stored(spark.range(10).selectExpr("id", "id * 2 as twice"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Range" not in plan
-    assert df.count() == 10
-
-
 def test_tune_switches_skew_handling_on(spark):
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
     tune(spark)

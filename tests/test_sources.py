@@ -43,6 +43,17 @@ def test_filters_reach_the_clean_layer(spark, tmp_path):
     assert "order_amount" not in scan.split("ReadSchema")[1]
 
 
+def test_a_range_of_days_prunes_months(spark, tmp_path):
+    write_clean(month_rows(spark), str(tmp_path))
+    quarter = (date(2024, 1, 1), date(2024, 3, 31))
+    lost = registry.analyse(
+        "q48_cancel_leads_churn", read_clean(spark, str(tmp_path)), only=quarter[0], scope=quarter
+    )
+    scan = next(x for x in executed_plan(lost).splitlines() if "FileScan" in x)
+    pruned = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "order_month" in pruned
+
+
 def test_writing_twice_is_refused(spark, tmp_path):
     write_clean(month_rows(spark), str(tmp_path))
     with pytest.raises(Exception, match="already exists"):
