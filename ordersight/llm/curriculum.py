@@ -192,7 +192,7 @@ def mix_sources(
     )
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per copy with its ``position``, range-sorted by it."""
+def training_order(mixed: DataFrame, *, id: str = "doc_id") -> DataFrame:
+    """One row per copy with its ``position``, range-sorted by it; ``id`` splits equal positions."""
     rows = mixed.withColumn("position", F.explode("positions")).drop("positions")
-    return rows.orderBy("position")
+    return rows.orderBy("position", id)

@@ -44,7 +44,8 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix_sources(docs, schedules=SCHEDULES)
-    return mixed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last()).select(
+    # Documents that are not taken have no position; their ids spread them over ranges.
+    return mixed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id").select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
