@@ -19,6 +19,7 @@ from ordersight.operators.periods import (
     distinct_in_periods,
     period_growth,
     period_kpis,
+    spike_drivers,
     spikes,
     with_previous,
 )
@@ -46,6 +47,7 @@ __all__ = [
     "rating_spread",
     "reorder_gap",
     "share_of_total",
+    "spike_drivers",
     "spikes",
     "top_k",
     "weighted_score",

@@ -63,6 +63,29 @@ def period_growth(
     return with_previous(df, period, _previous=value).withColumn(name, rate).drop("_previous")
 
 
+def spike_drivers(
+    facts: DataFrame, day: str, *, order: str = "order_id", amount: str = "order_amount"
+) -> DataFrame:
+    """Revenue and order volume of every active day beside those of the active day before.
+
+    The two changes tell whether volume or order value moved the revenue.
+    """
+    daily = (
+        facts.filter(F.col(day).isNotNull())
+        .groupBy(F.col(day).alias("spike_date"))
+        .agg(F.count(order).alias("current_volume"), F.sum(amount).alias("current_revenue"))
+    )
+    out = with_previous(
+        daily, "spike_date", previous_volume="current_volume", previous_revenue="current_revenue"
+    )
+    for what in ("volume", "revenue"):
+        change = F.col(f"current_{what}") - F.col(f"previous_{what}")
+        out = out.withColumn(f"{what}_change", change).withColumn(
+            f"{what}_change_pct", percent(F.col(f"{what}_change"), F.col(f"previous_{what}"))
+        )
+    return out
+
+
 def spikes(
     facts: DataFrame,
     day: str,

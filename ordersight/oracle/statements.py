@@ -372,6 +372,16 @@ select d.day as spike_date, {money("d.before")} as previous_revenue,
   {pct("d.cents - d.before", "d.before")} as change_pct, s.day as detail_date, s.restaurant_id,
   s.order_volume, {money("s.cents")} as detail_revenue
 from days d join sold s on s.day = d.day or s.day = d.day - 1""",
+    "q37_spike_drivers": f"""
+with days as (select day as spike_date, count(*) as current_volume, sum(cents) as c from fd_orders
+  where is_delivered and day is not null group by day),
+beside as (select *, lag(current_volume) over (order by spike_date) as previous_volume,
+  lag(c) over (order by spike_date) as b from days)
+select spike_date, current_volume, {money("c")} as current_revenue, previous_volume,
+  {money("b")} as previous_revenue, current_volume - previous_volume as volume_change,
+  {pct("current_volume - previous_volume", "previous_volume")} as volume_change_pct,
+  {money("c - b")} as revenue_change, {pct("c - b", "b")} as revenue_change_pct
+from beside""",
     "q38_reorder_gap": f"""
 select customer_id, first_order_date, second_order_date, {money("cents")} as total_spend,
   second_order_date - first_order_date as days_to_reorder
@@ -500,4 +510,28 @@ sums as (select count(*) filter (where place <= 3) as k, sum(cents) as c,
   sum(cents) filter (where place <= 3) as top from ranked)
 select k as top_restaurants, {money("c")} as total_revenue, {money("top")} as top_revenue,
   {money("c - top")} as remaining_revenue, {pct("top", "c")} as lost_pct from sums""",
+    "d9_reorder_speed_vs_spend": f"""
+select case when gap < 31 then 'soon' when gap < 91 then 'later' when gap >= 91 then 'late'
+    else 'never' end as reorder_speed,
+  count(*) as customers, {money("sum(cents)")} as total_spend,
+  {ratio("sum(cents)", "count(cents) * 100", 2)} as avg_spend
+from (select second_order_date - first_order_date as gap, cents from ({REORDER})) group by 1""",
+    "d10_clv_among_top_spenders": f"""
+with spend as (select customer_id, sum(cents) as cents from fd_orders where is_delivered group by 1),
+clv as (select customer_id from spend
+  qualify dense_rank() over (order by cents desc nulls first) <= 10),
+top as (select customer_id from spend where customer_id in (select customer_id from fd_customers)
+  order by cents desc nulls first, customer_id limit 5)
+select (select count(*) from clv) as clv_customers, (select count(*) from top) as top_spenders,
+  (select count(*) from clv join top using (customer_id)) as in_both""",
+    "d11_least_consistent_agent": best_by(
+        f"""select agent_id, count(*) as delivery_count, {ratio(
+            "count(rating) * sum(rating * rating) - sum(rating) * sum(rating)",
+            "count(rating) * (count(rating) - 1)", 2)} as rating_variance
+        from fd_deliveries where not is_failed group by agent_id""",
+        "rating_variance", "agent_id, delivery_count, rating_variance", "= 1",
+        rank="dense_rank", order="desc nulls last"),
+    "d12_flagged_customers": f"""
+select *, cast(cancelled_orders * 100 // total_orders as bigint) as cancellation_rate_pct
+from ({ORDER_COUNTS}) where total_orders >= 3 and cancelled_orders * 100 > total_orders * 50""",
 }

@@ -88,14 +88,22 @@ def cancel_rate(t: Tables) -> DataFrame:
     return _order_counts(t).withColumn("cancellation_rate_pct", fraction * 100)
 
 
-def cancel_rate_min_orders(t: Tables, min_orders: int = 3) -> DataFrame:
-    """Whole-percent cancelled share (cut, not rounded) of customers with enough orders."""
+def cancel_rate_min_orders(
+    t: Tables, min_orders: int = 3, above: int | None = None
+) -> DataFrame:
+    """Whole-percent cancelled share (cut, not rounded) of customers with enough orders.
+
+    ``above`` keeps customers whose exact share is more than so many percent.
+    """
     whole_percent = F.call_function(
         "div", F.col("cancelled_orders") * 100, F.nullif(F.col("total_orders"), F.lit(0))
     )
+    enough = F.col("total_orders") >= min_orders
+    if above is not None:
+        enough &= F.col("cancelled_orders") * 100 > F.col("total_orders") * above
     return (
         _order_counts(t)
-        .filter(F.col("total_orders") >= min_orders)
+        .filter(enough)
         .withColumn("cancellation_rate_pct", whole_percent)
         .orderBy(F.col("cancellation_rate_pct").desc_nulls_first(), "customer_id")
     )
@@ -182,6 +190,22 @@ def average_reorder_gap(t: Tables) -> DataFrame:
     return average_of(gaps, "days_to_reorder", "avg_days_to_reorder")
 
 
+def reorder_speed_vs_spend(t: Tables, lower_bounds: tuple[int, int] = (31, 91)) -> DataFrame:
+    """Customers and their spend by how soon they ordered again."""
+    gaps = reorder_gap(delivered(t.orders), "customer_id", "order_dt", "order_amount")
+    speed = bucketize(F.col("days_to_reorder"), lower_bounds, ("soon", "later", "late"), "never")
+    return (
+        gaps.groupBy(speed.alias("reorder_speed"))
+        .agg(
+            F.count(F.lit(1)).alias("customers"),
+            F.count("total_spend").alias("_known"),
+            F.sum("total_spend").alias("total_spend"),
+        )
+        .withColumn("avg_spend", per_count(F.col("total_spend"), F.col("_known"), 2))
+        .drop("_known")
+    )
+
+
 def lapsing_high_value(t: Tables, min_total: int = 2000, idle_days: int = 45) -> DataFrame:
     """Customers who spent much and then fell silent before the end of the data."""
     return lapsing(

@@ -299,15 +299,18 @@ def city_favourite_category(
     return top_k(per_category, "category_orders", 1, within=["city"])
 
 
-def most_consistent_agents(t: Tables) -> DataFrame:
-    """Agents sharing the lowest sample variance of delivered ratings; unknown variance last."""
+def most_consistent_agents(t: Tables, least: bool = False) -> DataFrame:
+    """Agents sharing the lowest sample variance of delivered ratings, or the highest with ``least``.
+
+    An unknown variance comes last.
+    """
     attempts = delivered_attempts(t.deliveries)
     per_agent = attempts.groupBy("agent_id").agg(
         F.count("order_id").alias("delivery_count"), *rating_spread(attempts, "delivery_rating")
     )
     spread = sample_variance(F.col("rated"), F.col("rating_sum"), F.col("rating_squares"), 2)
     variances = per_agent.select("agent_id", "delivery_count", spread.alias("rating_variance"))
-    return top_k(variances, "rating_variance", 1, ties="dense", descending=False)
+    return top_k(variances, "rating_variance", 1, ties="dense", descending=least, nulls="last")
 
 
 # Labels of deliveries under 30, 45 and 60 minutes and above.

@@ -54,6 +54,7 @@ ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "q35_most_consistent_agent": operations.most_consistent_agents,
     "q36_cancelled_with_delivery": audits.cancelled_with_delivery,
     "q37_revenue_spikes": revenue.revenue_spikes,
+    "q37_spike_drivers": revenue.revenue_spike_drivers,
     "q38_reorder_gap": customers.reorder_gaps,
     "q39_cross_city_orders": audits.cross_city_orders,
     "q40_rating_by_speed_bucket": operations.rating_by_speed,
@@ -85,6 +86,10 @@ ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "d6_growth_clean_vs_naive": revenue.growth_clean_vs_naive,
     "d7_monthly_leaderboard": operations.agent_leaderboard,
     "d8_top3_offline_impact": revenue.top_restaurants_offline,
+    "d9_reorder_speed_vs_spend": customers.reorder_speed_vs_spend,
+    "d10_clv_among_top_spenders": revenue.clv_among_top_spenders,
+    "d11_least_consistent_agent": operations.most_consistent_agents,
+    "d12_flagged_customers": customers.cancel_rate_min_orders,
 }
 
 FIRST, SECOND, THIRD = date(1995, 1, 1), date(1995, 2, 1), date(1995, 3, 1)
@@ -116,6 +121,8 @@ STAR_PARAMETERS: dict[str, dict] = {
     "d2_decline_concentration": {"first": FIRST, "last": SECOND},
     "d5_lapsing_by_city": {**LAPSING, "aliases": ALIASES},
     "d7_monthly_leaderboard": {"monthly": True},
+    "d11_least_consistent_agent": {"least": True},
+    "d12_flagged_customers": {"above": 50},
 }
 
 

@@ -14,10 +14,12 @@ from ordersight.operators import (
     period_growth,
     period_kpis,
     share_of_total,
+    spike_drivers,
     spikes,
     top_k,
     with_total,
 )
+from ordersight.operators.branches import for_branches
 from ordersight.plans.common import (
     customer_names,
     delivered,
@@ -219,6 +221,34 @@ def revenue_spikes(t: Tables, k: int | None = None) -> DataFrame:
     return spikes(delivered(t.orders), "order_dt", "restaurant_id", k=k).drop("spike_rank")
 
 
+def revenue_spike_drivers(t: Tables) -> DataFrame:
+    """Volume and revenue changes of every active day."""
+    return spike_drivers(delivered(t.orders), "order_dt").orderBy("spike_date")
+
+
+def clv_among_top_spenders(t: Tables, places: int = 10, k: int = 5) -> DataFrame:
+    """How many customers the lifetime-value list and the list of top spenders share."""
+    spend = for_branches(
+        delivered(t.orders).groupBy("customer_id").agg(F.sum("order_amount").alias("spend"))
+    )
+    # A plain equality would push a NULL filter into this branch and scan the orders again.
+    named = t.customers.filter("customer_id is not null").select(F.col("customer_id").alias("_id"))
+    known = spend.join(named, F.col("customer_id").eqNullSafe(F.col("_id")), "left_semi")
+    clv = top_k(spend, "spend", places, ties="dense")
+    top = top_k(known, "spend", k, ties="none", tie_break=["customer_id"])
+    both = (
+        clv.select("customer_id", F.lit(1).alias("_clv"), F.lit(0).alias("_top"))
+        .union(top.select("customer_id", F.lit(0), F.lit(1)))
+        .groupBy("customer_id")
+        .agg(F.max("_clv").alias("_clv"), F.max("_top").alias("_top"))
+    )
+    return both.agg(
+        F.count_if(F.col("_clv") == 1).alias("clv_customers"),
+        F.count_if(F.col("_top") == 1).alias("top_spenders"),
+        F.count_if((F.col("_clv") == 1) & (F.col("_top") == 1)).alias("in_both"),
+    )
+
+
 # Labels of customers by how often they ordered.
 FREQUENCY_LABELS = ("One_time_customer", "Occasional_customer", "Regular_customer")
 

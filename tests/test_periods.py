@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 
 from ordersight.operators import distinct_in_periods, period_growth, spikes
-from ordersight.plans import business_review, revenue
+from ordersight.plans import business_review, customers, revenue
 from small import tables, values
 
 QUARTER = [("2024-01-05", 22140), ("2024-02-05", 20840), ("2024-03-05", 13715)]
@@ -117,3 +117,24 @@ def test_clean_and_naive_growth(spark):
     ]
     rows = values(revenue.growth_clean_vs_naive(tables(spark, orders=orders)))
     assert rows[1][1:] == (150.0, 50.0, 50.0, -50.0)
+
+
+def test_spike_drivers_tell_volume_from_value(spark):
+    orders = [
+        {"order_date": "2024-01-03", "order_amount": 100},
+        {"order_date": "2024-01-05", "order_amount": 80},
+        {"order_date": "2024-01-05", "order_amount": 70},
+        {"order_date": None, "order_amount": 9},
+    ]
+    out = values(revenue.revenue_spike_drivers(tables(spark, orders=orders)))
+    assert out[0][0] == date(2024, 1, 3) and out[0][1:3] == (1, 100.0)
+    assert out[0][3:] == (None,) * 6
+    assert out[1] == (date(2024, 1, 5), 2, 150.0, 1, 100.0, 1, 100.0, 50.0, 50.0)
+
+
+def test_flagged_customers_exceed_the_exact_share(spark):
+    rows = [("1", "cancelled")] * 3 + [("1", "delivered")] + [("2", "cancelled")] * 4
+    orders = [{"customer_id": int(c), "status": s} for c, s in rows]
+    t = tables(spark, orders=orders, customers=[{}, {}])
+    flagged = customers.cancel_rate_min_orders(t, above=75)
+    assert values(flagged, "customer_id", "cancellation_rate_pct") == [(2, 100)]
