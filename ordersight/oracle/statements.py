@@ -179,7 +179,7 @@ LAPSING = """
 
 REORDER = """
   select customer_id, min(day) as first_order_date,
-    case when count(day) > 1 then list_sort(list(day))[2] end as second_order_date,
+    case when count(day) > 1 then list_sort(list(day) filter (where day is not null))[2] end as second_order_date,
     sum(cents) as cents
   from fd_orders where is_delivered group by customer_id"""
 
@@ -494,7 +494,7 @@ select count(gap) as avg_days_to_reorder_count, {ratio("sum(gap)", "count(gap)",
 from (select second_order_date - first_order_date as gap from ({REORDER}))""",
     "d5_lapsing_by_city": f"""
 select home as city, count(*) as lapsing_customers
-from ({LAPSING}) join fd_customers using (customer_id) group by home""",
+from ({LAPSING}) left join fd_customers using (customer_id) group by home""",
     "d6_growth_clean_vs_naive": f"""
 with sums as (select month as order_month, sum(cents) as n,
   sum(cents) filter (where is_delivered) as c from fd_orders group by month)

@@ -5,13 +5,14 @@ import re
 VIEWS = {
     "fd_orders": """
   select o_orderkey as order_id,
-    case when o_custkey % 17 = 5 and o_orderpriority <> '1-URGENT'
+    case when o_orderkey % 89 = 3 then -1 - o_orderkey % 2
+         when o_custkey % 17 = 5 and o_orderpriority <> '1-URGENT'
          then o_custkey - 5 else o_custkey end as customer_id,
     case when o_orderkey % 97 = 13 then -1 - o_orderkey % 3
          when o_orderpriority in ('1-URGENT', '2-HIGH') then o_custkey
          else o_orderkey // 8 end as restaurant_id,
-    cast(o_orderdate as date) as day,
-    cast(date_trunc('month', o_orderdate) as date) as month,
+    case when o_orderkey % 300 <> 33 then cast(o_orderdate as date) end as day,
+    case when o_orderkey % 300 <> 33 then cast(date_trunc('month', o_orderdate) as date) end as month,
     case when o_orderkey % 40 <> 7
          then cast(cast(o_totalprice as decimal(12, 2)) * 100 as bigint) end as cents,
     case when o_orderstatus = 'P' and o_orderkey % 10 <> 3 then 'CANCELLED'
@@ -42,8 +43,9 @@ VIEWS = {
     p_type as category, lower(r_name) as city_key
   from part join region on r_regionkey = p_partkey % 5""",
     "fd_deliveries": """
-  select l_orderkey * 10 + l_linenumber as delivery_id, l_orderkey as order_id,
-    l_suppkey as agent_id,
+  select l_orderkey * 10 + l_linenumber as delivery_id,
+    case when l_orderkey % 71 = 5 and l_linenumber = 2 then -l_orderkey else l_orderkey end as order_id,
+    case when l_suppkey % 10 = 7 then -1 else l_suppkey end as agent_id,
     case when l_returnflag = 'R' then 'Failed '
          when l_linestatus = 'O' then 'DELIVERED' else 'delivered' end as delivery_status,
     l_returnflag = 'R' as is_failed,

@@ -2,8 +2,8 @@
 
 Every row of every base table is used; the expressions only re-shape columns so that the
 dirt the plans must handle occurs: mixed spellings, padded text, two date formats, NULL
-amounts and ratings, orders of unknown restaurants, customers and restaurants without
-orders, and several deliveries per order. FIXTURES.md lists what each rule is there for.
+amounts and ratings, orders of unknown restaurants and customers, unreadable dates, customers and restaurants without
+orders, agents without deliveries, deliveries of unknown agents and orders, and several deliveries per order. FIXTURES.md lists what each rule is there for.
 """
 
 from collections.abc import Callable
@@ -28,12 +28,14 @@ BASE = {
 SHAPES = {
     "orders": [
         "o_orderkey as order_id",
-        """case when o_custkey % 17 = 5 and o_orderpriority != '1-URGENT' then o_custkey - 5
+        """case when o_orderkey % 89 = 3 then -1 - o_orderkey % 2
+                when o_custkey % 17 = 5 and o_orderpriority != '1-URGENT' then o_custkey - 5
                 else o_custkey end as customer_id""",
         """case when o_orderkey % 97 = 13 then -1 - o_orderkey % 3
                 when o_orderpriority in ('1-URGENT', '2-HIGH') then o_custkey
                 else o_orderkey div 8 end as restaurant_id""",
-        "cast(cast(o_orderdate as date) as string) as order_date",
+        """if(o_orderkey % 300 = 33, 'not known', cast(cast(o_orderdate as date) as string))
+                as order_date""",
         """if(o_orderkey % 40 = 7, null, cast(o_totalprice as decimal(12,2)))
                 as order_amount""",
         """case o_orderstatus when 'F' then 'Delivered' when 'O' then ' delivered'
@@ -62,8 +64,8 @@ SHAPES = {
     ],
     "deliveries": [
         "l_orderkey * 10 + l_linenumber as delivery_id",
-        "l_orderkey as order_id",
-        "l_suppkey as agent_id",
+        "if(l_orderkey % 71 = 5 and l_linenumber = 2, -l_orderkey, l_orderkey) as order_id",
+        "if(l_suppkey % 10 = 7, -1, l_suppkey) as agent_id",
         """case when l_returnflag = 'R' then 'Failed ' when l_linestatus = 'O' then 'DELIVERED'
                 else 'delivered' end as delivery_status""",
         """if(l_partkey % 11 = 0 or l_suppkey % 10 = 9, null,

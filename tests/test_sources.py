@@ -101,3 +101,12 @@ def test_star_tables_hold_the_dirt_the_analyses_need(spark):
 def test_orders_can_be_restricted(spark):
     t = month_rows(spark).with_orders(lambda o: o.filter("order_month = '2024-02-01'"))
     assert values(business_review.monthly_volume(t)) == [(date(2024, 2, 1), 2, 100.0)]
+
+
+def test_the_views_hold_rows_for_every_outer_join(spark):
+    t = star_tables(spark, "/root/testdata/sf0.001")
+    assert t.orders.join(t.customers, "customer_id", "left_anti").count() > 0
+    assert t.deliveries.join(t.agents, "agent_id", "left_anti").count() > 0
+    assert t.deliveries.join(t.orders, "order_id", "left_anti").count() > 0
+    assert t.agents.join(t.deliveries, "agent_id", "left_anti").count() > 0
+    assert t.orders.filter("order_dt is null").count() > 0
