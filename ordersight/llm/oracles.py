@@ -100,9 +100,48 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged
 """
 
+FILTER_AUDIT = r"""
+with recursive docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+marked as (
+  select d.doc_id, part,
+         case when len(w) < 200 then 1 else 0 end
+         + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+         + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 4 else 0 end
+         + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+         + case when d.doc_id > min(d.doc_id) over (partition by text) then 16 else 0 end as mask,
+         coalesce(quality, 0) as good, coalesce(toxic, 0) as toxic
+  from docs d left join (
+    select doc_id, max((quality = 1)::int) as quality, max((toxic = 1)::int) as toxic
+    from labels group by doc_id) l on d.doc_id = l.doc_id),
+cells as (
+  select part, mask, count(*)::bigint as n, sum(good)::bigint as g, sum(toxic)::bigint as t
+  from marked group by part, mask),
+orders(filter_order, applied, bit, step) as (
+  select '', 0, 0, 0
+  union all
+  select filter_order || chr(65 + i::int), applied + bit, (1 << i)::int, step + 1
+  from orders, range(5) r(i) where ((applied + bit) & (1 << i)::int) = 0),
+steps as (
+  select part, filter_order, step, bit,
+         coalesce(sum(n) filter ((mask & (applied + bit)) = 0), 0)::bigint as kept,
+         coalesce(sum(n) filter ((mask & bit) != 0 and (mask & applied) = 0), 0)::bigint as removed,
+         coalesce(sum(n) filter ((mask & bit) != 0 and (mask & applied) != 0), 0)::bigint as redundant,
+         coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+         coalesce(sum(g) filter ((mask & bit) != 0 and (mask & applied) = 0), 0)::bigint as good_lost,
+         coalesce(sum(t) filter ((mask & bit) != 0 and (mask & applied) = 0), 0)::bigint as toxic_lost
+  from orders, cells where step > 0 group by part, filter_order, step, bit)
+select f.part, f.filter_order, s.step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by f.part, bit))::bigint as shapley
+from (select part, filter_order from steps where step = 5) f
+join steps s on f.part = s.part and substr(f.filter_order, 1, s.step) = s.filter_order
+"""
+
 ORACLES: dict[str, str] = {
     "op3_source_mix": SOURCE_MIX,
     "op4_quality_rules": QUALITY_RULES,
     "op8_line_dedup": LINE_DEDUP,
     "op9_chat_format": CHAT_FORMAT,
+    "op13_filter_audit": FILTER_AUDIT,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ordersight.llm.chat import format_chat, read_chat, text_parts
 from ordersight.llm.curriculum import mix_sources
 from ordersight.llm.embed_dedup import embedding_links
+from ordersight.llm.filter_audit import filter_audit
 from ordersight.llm.licenses import license_scan
 from ordersight.llm.line_dedup import drop_common_lines
 from ordersight.llm.lm_score import lm_score
@@ -16,9 +17,13 @@ from ordersight.llm.ngram_join import jaccard_groups
 from ordersight.llm.packing import pack_pieces, token_pieces
 from ordersight.llm.quality import quality_verdicts
 from ordersight.llm.store import scratch_path
+from ordersight.llm.token_alignment import token_alignment
+from ordersight.llm.token_counts import token_counts
 from ordersight.llm.token_files import read_token_files, write_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SEQUENCE = 2048
 
 #: Heavy sources early, light ones late.
@@ -111,6 +116,19 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECE_BPE)
+
+
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE, SEQUENCE)
+
+
+def filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_token_output": token_output,
@@ -122,4 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup,
     "op9_chat_format": chat_format,
     "op10_license_scan": licenses,
+    "op11_token_alignment": cross_tokenizer_alignment,
+    "op12_token_counts": token_count,
+    "op13_filter_audit": filter_interaction,
 }
