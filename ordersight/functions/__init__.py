@@ -4,10 +4,12 @@ from ordersight.functions.dates import is_weekend, month_of, parse_iso_date, par
 from ordersight.functions.numbers import (
     exact_ratio,
     mean,
+    mean_of,
     per_count,
     percent,
     sample_variance,
     variance,
+    wide_mean,
 )
 from ordersight.functions.text import bucketize, impute, normalize_key, title_key
 
@@ -17,6 +19,7 @@ __all__ = [
     "impute",
     "is_weekend",
     "mean",
+    "mean_of",
     "month_of",
     "normalize_key",
     "parse_iso_date",
@@ -26,4 +29,5 @@ __all__ = [
     "sample_variance",
     "title_key",
     "variance",
+    "wide_mean",
 ]

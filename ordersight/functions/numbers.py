@@ -3,50 +3,84 @@
 A tie therefore rounds the same way at any data size and in any order of aggregation.
 """
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType
 
 
-def _exactly(value: Column, kind: str) -> Column:
-    """``value`` as a decimal type; an error where digits would be lost."""
-    cut = value.cast(kind)
-    lossless = value.isNull() | (cut.cast("double") == value.cast("double"))
+def _decimal(number: int | Decimal) -> Column:
+    """A literal of the smallest decimal type that holds it."""
+    return F.lit(Decimal(number))
+
+
+def _exactly(value: Column, precision: int, scale: int) -> Column:
+    """``value`` as DECIMAL(precision, scale); an error where it has no room or finer digits.
+
+    Digits are finer if they leave a remainder of the last place. Doubles have to be equal
+    to the decimal they become.
+    """
+    kind = f"decimal({precision},{scale})"
+    cut = value.try_cast(kind)
+    floating = F.typeof(value).isin("double", "float")
+    whole = F.when(floating, cut.cast("double") == value.cast("double")).otherwise(
+        value % _decimal(Decimal(1).scaleb(-scale)) == F.lit(0)
+    )
+    lossless = value.isNull() | (cut.isNotNull() & whole)
     return F.when(lossless, cut).otherwise(F.raise_error(F.lit(f"a sum does not fit {kind}")))
 
 
+def _times(number: Column, divisor: Column, rest: Column) -> Column:
+    """How often ``divisor`` goes into ``number``, of which ``rest`` remains: an exact quotient."""
+    return (number - rest) / divisor
+
+
+def _ratio(numerator: Column, denominator: Column, places: int) -> Column:
+    """Quotient of two numbers that are not negative, rounded half up: long division, digit by digit."""
+    rest = numerator % denominator
+    quotient = _times(numerator, denominator, rest).cast("decimal(32,0)")
+    for place in range(1, places + 1):
+        tenfold = rest * _decimal(10)
+        rest = tenfold % denominator
+        digit = _times(tenfold, denominator, rest).cast("decimal(1,0)")
+        quotient = quotient + digit * _decimal(Decimal(1).scaleb(-place))
+    up = F.when(rest * _decimal(2) >= denominator, _decimal(Decimal(1).scaleb(-places)))
+    return (quotient + F.coalesce(up, _decimal(0))).cast(f"decimal(38,{places})")
+
+
 def exact_ratio(numerator: Column, denominator: Column, places: int) -> Column:
     """``numerator / denominator`` rounded to ``places``; NULL when the denominator is 0 or NULL.
 
-    Both may be sums with up to six decimals; more are an error. The rounding is whole-number
-    division, so it is exact for denominators of any size.
+    Both may be sums with up to six decimals; finer ones are an error. The quotient is found by long
+    division on decimals, so it is exact for sums up to 10**30.
     """
-    num = _exactly(numerator, "decimal(38,6)")
-    den = F.nullif(_exactly(denominator, "decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
-    doubled = F.abs(num) * F.lit(2 * 10**places) + F.abs(den)
-    steps = F.call_function("div", doubled, F.abs(den) * F.lit(2))
-    sign = F.signum(num.cast("double")) * F.signum(den.cast("double"))
-    unit = F.lit(Decimal(1).scaleb(-places))
-    return (steps.cast("decimal(20,0)") * sign.cast("decimal(1,0)") * unit).cast(
-        f"decimal(24,{places})"
-    )
+    num = _exactly(numerator, 38, 6)
+    den = F.nullif(_exactly(denominator, 38, 6), _decimal(0))
+    size = _ratio(F.abs(num), F.abs(den), places)
+    return F.when((num < 0) != (den < 0), -size).otherwise(size)
 
 
 def percent(part: Column, whole: Column, places: int = 2) -> Column:
     """``part`` as a percentage of ``whole``."""
-    return exact_ratio(_exactly(part, "decimal(36,6)") * F.lit(100), whole, places)
+    return exact_ratio(_exactly(part, 36, 6) * _decimal(100), whole, places)
 
 
 def per_count(total: Column, count: Column, places: int) -> Column:
     """``total`` for each of ``count`` rows, rounded; NULL for no rows.
 
-    ``total`` may have up to four decimals; more are an error. The decimal quotient keeps 16
+    ``total`` may have up to four decimals; more are an error. A decimal quotient keeps 16
     places. A quotient that is no tie is further than that from one for fewer than 10**14 rows
-    (10**12 with four decimals), so rounding it again is exact, and cheaper than ``exact_ratio``.
+    (10**12 with four decimals), so rounding it again is exact, and cheaper than long
+    division, which takes over for totals from 10**22 and for more rows.
     """
-    rows = F.nullif(count.cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
-    return F.round(_exactly(total, "decimal(26,4)") / rows, places)
+    exact = _exactly(total, 38, 4)
+    rows = F.nullif(count.cast("decimal(18,0)"), _decimal(0))
+    near = exact.try_cast("decimal(26,4)")
+    quick = F.round(near / rows, places)
+    fits = near.isNotNull() & (rows < F.lit(10**12))
+    return F.when(fits, quick).otherwise(exact_ratio(exact, rows, places))
 
 
 def mean(value: Column, places: int) -> Column:
@@ -54,6 +88,43 @@ def mean(value: Column, places: int) -> Column:
     return per_count(F.sum(value), F.count(value), places)
 
 
+#: ``wide_mean`` adds up multiples of this and what is left of each value apart.
+_HIGH = 10**15
+
+
+def wide_mean(value: Column, places: int) -> Column:
+    """Aggregate: ``mean`` of decimals whose sum may have more than 38 digits.
+
+    Values may have up to 32 digits before and six after the point.
+    """
+    exact = _exactly(value, 38, 6)
+    left = exact % _decimal(_HIGH)
+    high = F.sum(_times(exact, _decimal(_HIGH), left).cast("decimal(18,0)"))
+    low = F.sum(left)
+    count = F.count(value)
+    rows = F.nullif(count.cast("decimal(18,0)"), _decimal(0))
+    high_left = high % rows
+    rest = high_left * _decimal(_HIGH) + low
+    # What is left after whole units, made positive, so that ties round away from zero.
+    units = F.floor(rest / rows)
+    fraction = (rest - units.cast("decimal(20,0)") * rows).cast("decimal(38,6)")
+    slips = F.when(fraction < 0, -1).when(fraction >= rows, 1).otherwise(0)
+    units = units.cast("decimal(20,0)") + slips.cast("decimal(1,0)")
+    fraction = (rest - units * rows).cast("decimal(38,6)")
+    whole = (_times(high, rows, high_left).cast("decimal(18,0)") * _decimal(_HIGH) + units).cast(
+        "decimal(33,0)"
+    )
+    below = whole < 0
+    part = _ratio(F.when(below, rows - fraction).otherwise(fraction), rows, places)
+    return F.when(below, whole + _decimal(1) - part).otherwise(whole + part).cast(f"decimal(38,{places})")
+
+
+def mean_of(kind: DataType) -> Callable[[Column, int], Column]:
+    """``mean``, or ``wide_mean`` for a decimal type whose sum could outgrow it."""
+    wide = isinstance(kind, DecimalType) and (kind.precision > 28 or kind.scale > 4)
+    return wide_mean if wide else mean
+
+
 def _spread(count: Column, total: Column, squares: Column) -> Column:
     n = count.cast("decimal(19,0)")
     s = total.cast("decimal(22,3)")

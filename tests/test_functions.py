@@ -1,5 +1,5 @@
 from datetime import date
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 from fractions import Fraction
 from statistics import variance as exact_sample_variance
 
@@ -74,11 +74,14 @@ def test_bucketize_bounds_and_null(spark):
         fn.bucketize(F.col("v"), (30,), ("a",), "unknown")
 
 
+MANY_DIGITS = Context(prec=90)
+
+
 def rounded(n, d, places):
     exact = Fraction(n) / Fraction(d)
     scaled = abs(exact) * 10**places
     whole = (2 * scaled.numerator + scaled.denominator) // (2 * scaled.denominator)
-    return Decimal(whole if exact >= 0 else -whole).scaleb(-places)
+    return MANY_DIGITS.scaleb(Decimal(whole if exact >= 0 else -whole), -places)
 
 
 @settings(max_examples=15, deadline=None)
@@ -98,6 +101,63 @@ def test_exact_ratio_rounds_half_away_from_zero(spark, pairs):
     assert got == [None if d == 0 else rounded(n, d, 2) for n, d in pairs]
 
 
+WIDE = st.decimals(-(10**30), 10**30, places=6)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(WIDE, WIDE), min_size=1, max_size=40))
+def test_exact_ratio_of_sums_of_any_size(spark, pairs):
+    pairs = pairs + [(n, rounded(Fraction(d) * Fraction(n), 10**40, 6)) for n, d in pairs]
+    pairs = pairs + [(d, n) for n, d in pairs]
+    wanted = [None if d == 0 else rounded(n, d, 4) for n, d in pairs]
+    fits = [i for i, w in enumerate(wanted) if w is None or abs(w) < 10**32]
+    rows = [(i, *pairs[i]) for i in fits]
+    df = spark.createDataFrame(rows, "i int, n decimal(38,6), d decimal(38,6)")
+    assert column(df, fn.exact_ratio(F.col("n"), F.col("d"), 4)) == [wanted[i] for i in fits]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.decimals(-(10**30), 10**30, places=4), st.integers(0, 10**15)), min_size=1))
+def test_per_count_of_any_size(spark, pairs):
+    rows = [(i, n, d) for i, (n, d) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i int, n decimal(38,4), d bigint")
+    got = column(df, fn.per_count(F.col("n"), F.col("d"), 2))
+    assert got == [None if d == 0 else rounded(n, d, 2) for n, d in pairs]
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    st.lists(
+        st.decimals(-(10**32) + 1, 10**32 - 1, places=6) | st.decimals(-9, 9, places=2),
+        min_size=1,
+        max_size=40,
+    )
+)
+def test_wide_mean_holds_sums_beyond_38_digits(spark, values):
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v decimal(38,6)")
+    total = sum(Fraction(v) for v in values)
+    assert df.agg(fn.wide_mean(F.col("v"), 2)).first()[0] == rounded(total, len(values), 2)
+
+
+def test_wide_mean_where_a_plain_sum_fails(spark):
+    df = spark.createDataFrame([(Decimal(10**32 - 1),)] * 50, "v decimal(38,6)")
+    assert df.agg(fn.mean_of(df.schema["v"].dataType)(F.col("v"), 2)).first()[0] == 10**32 - 1
+    with pytest.raises(Exception, match="(?i)overflow|out of range|NUMERIC_VALUE|cannot be represented"):
+        df.agg(fn.mean(F.col("v"), 2)).collect()
+    assert fn.mean_of(df.select(F.col("v").cast("decimal(12,2)")).schema["v"].dataType) is fn.mean
+
+
+def test_finer_digits_of_large_sums_are_not_dropped(spark):
+    """As doubles, the sum and what is left of it after a cast are equal."""
+    df = spark.createDataFrame([(Decimal("123456789012345678.000049"),)], "v decimal(38,6)")
+    with pytest.raises(Exception, match="does not fit"):
+        df.select(fn.per_count(F.col("v"), F.lit(1), 6)).collect()
+    exact = df.select(fn.exact_ratio(F.col("v"), F.lit(1), 6)).first()[0]
+    assert exact == Decimal("123456789012345678.000049")
+    halves = df.select(fn.exact_ratio(F.lit(0.1), F.lit(1), 1), fn.exact_ratio(F.lit(0.5), F.lit(2), 2))
+    assert halves.first() == (Decimal("0.1"), Decimal("0.25"))
+
+
 def test_exact_ratio_ties(spark):
     rows = [(0, 1, 8), (1, -1, 8), (2, 201, 200), (3, 2, 3)]
     df = spark.createDataFrame(rows, "i int, n bigint, d bigint")

@@ -202,6 +202,6 @@ def test_star_queries_leave_the_clock_alone(spark):
         shifted = values(star_tables(spark, SF).orders.select("order_month").distinct())
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
-    assert sorted(shifted) == sorted(
-        values(star_tables(spark, SF).orders.select("order_month").distinct())
-    )
+    usual = values(star_tables(spark, SF).orders.select("order_month").distinct())
+    assert (None,) in usual  # unreadable dates
+    assert set(shifted) == set(usual)
