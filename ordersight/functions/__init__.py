@@ -1,6 +1,13 @@
 """Column expressions: text keys, dates and exact rounding. All run inside the JVM."""
 
-from ordersight.functions.dates import is_weekend, month_of, parse_iso_date, parse_mixed_date
+from ordersight.functions.dates import (
+    GRAINS,
+    is_weekend,
+    month_of,
+    parse_iso_date,
+    parse_mixed_date,
+    period_of,
+)
 from ordersight.functions.numbers import (
     exact_ratio,
     mean,
@@ -14,6 +21,7 @@ from ordersight.functions.numbers import (
 from ordersight.functions.text import bucketize, impute, normalize_key, title_key
 
 __all__ = [
+    "GRAINS",
     "bucketize",
     "exact_ratio",
     "impute",
@@ -26,6 +34,7 @@ __all__ = [
     "parse_mixed_date",
     "per_count",
     "percent",
+    "period_of",
     "sample_variance",
     "title_key",
     "variance",

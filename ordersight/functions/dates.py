@@ -33,6 +33,23 @@ def parse_mixed_date(text: Column, formats: Mapping[str, str] = FORMATS) -> Colu
     return day
 
 
+#: How far apart the first days of neighbouring periods are.
+GRAINS = {
+    "day": "interval 1 day",
+    "week": "interval 7 days",
+    "month": "interval 1 month",
+    "quarter": "interval 3 months",
+    "year": "interval 1 year",
+}
+
+
+def period_of(day: Column, grain: str) -> Column:
+    """First day of the day's period: ``day``, ``week`` (from Monday), ``month``, ``quarter``, ``year``."""
+    if grain not in GRAINS:
+        raise ValueError(f"{grain} is none of {', '.join(GRAINS)}")
+    return day if grain == "day" else F.trunc(day, grain)
+
+
 def month_of(day: Column) -> Column:
     """First day of the month."""
     return F.trunc(day, "MM")

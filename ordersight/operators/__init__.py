@@ -7,6 +7,7 @@ from ordersight.operators.audit import (
     missing_from,
     null_exposure,
 )
+from ordersight.operators.bitmaps import count_members, member_bitmaps, merge_bitmaps
 from ordersight.operators.customers import (
     cohort_share,
     frequency_segments,
@@ -21,6 +22,7 @@ from ordersight.operators.periods import (
     period_kpis,
     spike_drivers,
     spikes,
+    with_every_period,
     with_previous,
 )
 from ordersight.operators.ranking import global_rank, rank_table, top_k
@@ -31,12 +33,15 @@ __all__ = [
     "cohort_share",
     "conditional_rate",
     "conflicts",
+    "count_members",
     "distinct_in_periods",
     "frequency_segments",
     "global_rank",
     "join_inflation",
     "label_variant_error",
     "lapsing",
+    "member_bitmaps",
+    "merge_bitmaps",
     "missing_from",
     "null_exposure",
     "only_in_period",
@@ -51,6 +56,7 @@ __all__ = [
     "spikes",
     "top_k",
     "weighted_score",
+    "with_every_period",
     "with_previous",
     "with_total",
 ]

@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.functions import mean, percent
+from ordersight.functions import GRAINS, mean_of, percent, period_of
 from ordersight.operators.branches import for_branches
 
 FACTS = ("revenue", "orders", "avg_order_value", "active_customers")
@@ -21,21 +21,58 @@ def period_kpis(
     keys: Sequence[str],
     facts: Sequence[str] = FACTS,
     *,
+    grain: str | None = None,
+    day: str = "order_dt",
+    period: str = "period",
+    every: bool = False,
     amount: str = "order_amount",
     order: str = "order_id",
     customer: str = "customer_id",
 ) -> DataFrame:
     """Revenue, orders, average order value and active customers per key.
 
-    The average skips orders without an amount; the order count does not.
+    With a ``grain`` (day, week, month, quarter, year) also per ``period`` of ``day``, named by its first day;
+    ``every`` adds the periods in which a key has no orders. The average skips orders without an amount;
+    the order count does not.
     """
     known = {
         "revenue": F.sum(amount),
         "orders": F.count(order),
-        "avg_order_value": mean(F.col(amount), 2),
+        "avg_order_value": mean_of(orders.schema[amount].dataType)(F.col(amount), 2),
         "active_customers": F.count_distinct(customer),
     }
-    return orders.groupBy(*keys).agg(*[known[f].alias(f) for f in facts])
+    by = [*keys] if grain is None else [*keys, period_of(F.col(day), grain).alias(period)]
+    kpis = orders.groupBy(*by).agg(*[known[f].alias(f) for f in facts])
+    if every and grain is not None:
+        kpis = with_every_period(kpis, keys, period, grain, [f for f in facts if f != "avg_order_value"])
+    return kpis
+
+
+def with_every_period(
+    rows: DataFrame, keys: Sequence[str], period: str, grain: str, counts: Sequence[str]
+) -> DataFrame:
+    """One row per key and period, also for periods between the first and last of all rows that have none.
+
+    There ``counts`` are 0 and other columns NULL. Rows of an unknown period stay. The calendar is
+    one row, as long as the periods between two dates, and meets every combination of ``keys`` by broadcast.
+    """
+    rows = for_branches(rows)
+    calendar = rows.agg(
+        F.sequence(F.min(period), F.max(period), F.expr(GRAINS[grain])).alias("_calendar")
+    )
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    spine = groups.crossJoin(F.broadcast(calendar)).select(*keys, F.explode("_calendar").alias(period))
+    facts = [c for c in rows.columns if c not in keys and c != period]
+    found = rows.withColumn("_found", F.lit(True)).unionByName(spine, allowMissingColumns=True)
+    merged = found.groupBy(*keys, period).agg(F.max("_found").alias("_found"), *[F.max(f).alias(f) for f in facts])
+    return merged.select(
+        *keys,
+        period,
+        *[
+            F.when(F.col("_found"), F.col(f)).otherwise(F.lit(0)).alias(f) if f in counts else F.col(f)
+            for f in facts
+        ],
+    )
 
 
 def with_previous(df: DataFrame, period: str, **columns: str) -> DataFrame:

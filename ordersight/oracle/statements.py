@@ -73,6 +73,28 @@ REGION_MONTH = """
   from fd_orders join fd_restaurants using (restaurant_id)
   where is_delivered group by all"""
 
+def by_period(grain: str) -> str:
+    """Cents, orders, priced orders and customers by period."""
+    return f"""
+  select cast(date_trunc('{grain}', day) as date) as period, sum(cents) as cents, count(order_id) as orders,
+    count(cents) as priced, count(distinct customer_id) as customers
+  from fd_orders where is_delivered group by 1"""
+
+
+def period_kpis(grain: str) -> str:
+    return f"""
+select period, {money("cents")} as revenue, orders, {ratio("cents", "100 * priced", 2)} as avg_order_value,
+  customers as active_customers from ({by_period(grain)})"""
+
+
+def city_by(grain: str) -> str:
+    return f"""
+select cast(date_trunc('{grain}', day) as date) as period, count(distinct customer_id) as active_customers,
+  count(*) as orders, {ratio("count(*)", "count(distinct customer_id)", 2)} as orders_per_customer
+from fd_orders join fd_restaurants using (restaurant_id)
+where is_delivered and city_key = 'africa' group by 1"""
+
+
 SLOWEST = """
 with attempts as (
   select order_id, restaurant_id, restaurant_name, agent_id, city_key, minutes,
@@ -462,6 +484,42 @@ select month, count(distinct customer_id) as active_customers, count(*) as order
   {ratio("count(*)", "count(distinct customer_id)", 2)} as orders_per_customer
 from fd_orders join fd_restaurants using (restaurant_id)
 where is_delivered and city_key = 'africa' group by month""",
+    "b9_weekly_kpis": period_kpis("week"),
+    "b10_quarterly_kpis": period_kpis("quarter"),
+    "b11_daily_growth": f"""
+with days as ({by_period("day")}),
+calendar as (
+  select cast(unnest(generate_series(min(period), max(period), interval 1 day)) as date) as period from days),
+filled as (
+  select period, case when d.orders is null then 0 else d.cents end as cents, coalesce(d.orders, 0) as orders
+  from calendar left join days d using (period)
+  union all select period, cents, orders from days where period is null)
+select period, {money("cents")} as revenue, orders,
+  {pct("cents - lag(cents) over w", "lag(cents) over w")} as growth_rate_pct
+from filled window w as (order by period nulls last)""",
+    "b12_orders_region_quarter": f"""
+with found as (
+  select city_key as region, cast(date_trunc('quarter', day) as date) as period, count(order_id) as orders,
+    sum(cents) as cents
+  from fd_orders join fd_restaurants using (restaurant_id) where is_delivered group by all),
+calendar as (
+  select cast(unnest(generate_series(min(period), max(period), interval 3 month)) as date) as period from found),
+spine as (select * from (select distinct region from found), calendar
+  union all select region, period from found where period is null)
+select s.region, s.period, coalesce(f.orders, 0) as orders,
+  {money("case when f.orders is null then 0 else f.cents end")} as revenue
+from spine s left join found f on s.region = f.region and s.period is not distinct from f.period""",
+    "m1_monthly_kpis": period_kpis("month"),
+    "m2_quarterly_kpis": period_kpis("quarter"),
+    "m3_region_quarter_kpis": f"""
+select period, city_key, {money("cents")} as revenue, orders, {ratio("cents", "100 * priced", 2)} as avg_order_value,
+  customers as active_customers
+from (
+  select cast(date_trunc('quarter', day) as date) as period, city_key, sum(cents) as cents, count(order_id) as orders,
+    count(cents) as priced, count(distinct customer_id) as customers
+  from fd_orders left join fd_restaurants using (restaurant_id) where is_delivered group by all)""",
+    "m4_city_frequency": city_by("month"),
+    "m5_city_frequency_by_quarter": city_by("quarter"),
     "b7_city_restaurant_month": """
 select restaurant_id, restaurant_name, month, count(order_id) as orders
 from fd_orders join fd_restaurants using (restaurant_id)

@@ -10,6 +10,7 @@ from ordersight.operators import (
     period_growth,
     period_kpis,
     period_retention,
+    with_every_period,
     with_previous,
     with_total,
 )
@@ -39,6 +40,33 @@ def monthly_volume(t: Tables) -> DataFrame:
     return _by_month(period_kpis(delivered(t.orders), [MONTH], ["orders", "avg_order_value"]))
 
 
+def kpis_by_period(t: Tables, grain: str = "week", every: bool = False) -> DataFrame:
+    """All KPIs by week, quarter or another grain."""
+    kpis = period_kpis(delivered(t.orders), [], grain=grain, every=every)
+    return kpis.orderBy(F.col("period").asc_nulls_last())
+
+
+def growth_by_period(t: Tables, grain: str = "day", every: bool = True) -> DataFrame:
+    """Revenue and growth against the calendar period before, one without orders included."""
+    revenue = period_kpis(delivered(t.orders), [], ["revenue", "orders"], grain=grain, every=every)
+    return period_growth(revenue, "period", "revenue").orderBy(F.col("period").asc_nulls_last())
+
+
+def orders_by_region_period(t: Tables, grain: str = "quarter", every: bool = True) -> DataFrame:
+    """Orders and revenue per restaurant city and period, periods without orders included."""
+    facts = ["orders", "revenue"]
+    regions = t.restaurants.select("restaurant_id", F.col("city_key").alias("region"))
+    regional = (
+        period_kpis(delivered(t.orders), ["restaurant_id"], facts, grain=grain)
+        .join(regions, "restaurant_id")
+        .groupBy("region", "period")
+        .agg(*[F.sum(f).alias(f) for f in facts])
+    )
+    if every:
+        regional = with_every_period(regional, ["region"], "period", grain, facts)
+    return regional.orderBy("region", F.col("period").asc_nulls_last())
+
+
 def _regional(t: Tables, fact: str, total: str) -> DataFrame:
     """One additive KPI per restaurant city and month."""
     regions = t.restaurants.select("restaurant_id", F.col("city_key").alias("region"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordersight.plans import audits, business_review, customers, operations, revenue
+from ordersight.plans import audits, business_review, customers, marts, operations, revenue
 from ordersight.session import tune
 from ordersight.sources import Tables, star_tables
 
@@ -78,6 +78,15 @@ ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "b7_city_restaurant_month": business_review.city_restaurant_orders,
     "b8_churn_vs_service": business_review.churn_vs_service,
     "b8_churn_vs_service_per_order": business_review.churn_vs_service,
+    "b9_weekly_kpis": business_review.kpis_by_period,
+    "b10_quarterly_kpis": business_review.kpis_by_period,
+    "b11_daily_growth": business_review.growth_by_period,
+    "b12_orders_region_quarter": business_review.orders_by_region_period,
+    "m1_monthly_kpis": marts.kpis_of_marts,
+    "m2_quarterly_kpis": marts.kpis_of_marts,
+    "m3_region_quarter_kpis": marts.regional_kpis_of_marts,
+    "m4_city_frequency": marts.city_frequency_of_marts,
+    "m5_city_frequency_by_quarter": marts.city_frequency_of_marts,
     "d1_driver_decomposition": business_review.driver_decomposition,
     "d2_decline_concentration": business_review.decline_concentration,
     "d3_full_signups_by_month": customers.signups_by_month,
@@ -118,6 +127,10 @@ STAR_PARAMETERS: dict[str, dict] = {
     "b7_city_restaurant_month": {"city": CITY},
     "b8_churn_vs_service": {"first": FIRST, "last": THIRD},
     "b8_churn_vs_service_per_order": {"first": FIRST, "last": THIRD, "grain": "order"},
+    "b10_quarterly_kpis": {"grain": "quarter", "every": True},
+    "m2_quarterly_kpis": {"grain": "quarter"},
+    "m4_city_frequency": {"city": CITY},
+    "m5_city_frequency_by_quarter": {"city": CITY, "grain": "quarter"},
     "d2_decline_concentration": {"first": FIRST, "last": SECOND},
     "d5_lapsing_by_city": {**LAPSING, "aliases": ALIASES},
     "d7_monthly_leaderboard": {"monthly": True},

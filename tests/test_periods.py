@@ -138,3 +138,57 @@ def test_flagged_customers_exceed_the_exact_share(spark):
     t = tables(spark, orders=orders, customers=[{}, {}])
     flagged = customers.cancel_rate_min_orders(t, above=75)
     assert values(flagged, "customer_id", "cancellation_rate_pct") == [(2, 100)]
+
+
+GAP = [
+    {"order_id": 1, "order_date": "2024-01-30", "customer_id": 1},
+    {"order_id": 2, "order_date": "2024-01-31", "customer_id": 1},
+    {"order_id": 3, "order_date": "2024-03-05", "customer_id": 2, "order_amount": 300},
+    {"order_id": 4, "order_date": "2024-04-05", "customer_id": 2, "order_amount": None},
+    {"order_id": 5, "order_date": "someday"},
+]
+
+
+def test_growth_over_a_month_without_orders(spark):
+    t = tables(spark, orders=GAP)
+    assert values(business_review.growth_by_period(t, "month")) == [
+        (date(2024, 1, 1), 200.0, 2, None),
+        (date(2024, 2, 1), 0.0, 0, -100.0),
+        (date(2024, 3, 1), 300.0, 1, None),  # nothing grows from nothing
+        (date(2024, 4, 1), None, 1, None),
+        (None, 100.0, 1, None),
+    ]
+    without = values(business_review.growth_by_period(t, "month", every=False))
+    assert [row[0] for row in without] == [date(2024, m, 1) for m in (1, 3, 4)] + [None]
+    assert without[1] == (date(2024, 3, 1), 300.0, 1, 50.0)
+
+
+@pytest.mark.parametrize(
+    "grain,first,count",
+    [("day", date(2024, 1, 30), 67), ("week", date(2024, 1, 29), 10), ("quarter", date(2024, 1, 1), 2),
+     ("year", date(2024, 1, 1), 1)],
+)
+def test_every_period_of_a_grain(spark, grain, first, count):
+    rows = values(business_review.kpis_by_period(tables(spark, orders=GAP), grain, every=True))
+    assert rows[0][0] == first and rows[-1][0] is None and len(rows) == count + 1
+    assert sum(r[2] for r in rows) == 5
+    with pytest.raises(ValueError):
+        business_review.kpis_by_period(tables(spark, orders=GAP), "fortnight")
+
+
+def test_every_period_of_every_region(spark):
+    places = [{"restaurant_id": 1}, {"restaurant_id": 2, "city": "Madurai"}]
+    orders = [
+        {"order_date": "2023-02-01"},
+        {"order_date": "2023-08-01", "restaurant_id": 2, "order_amount": None},
+    ]
+    rows = values(business_review.orders_by_region_period(tables(spark, orders=orders, restaurants=places)))
+    starts = [date(2023, m, 1) for m in (1, 4, 7)]
+    assert rows == [("chennai", d, n, r) for d, n, r in zip(starts, (1, 0, 0), (100.0, 0.0, 0.0))] + [
+        ("madurai", d, n, r) for d, n, r in zip(starts, (0, 0, 1), (0.0, 0.0, None))
+    ]
+
+
+def test_no_orders_make_no_periods(spark):
+    t = tables(spark, orders=[{"status": "cancelled"}])
+    assert values(business_review.kpis_by_period(t, "week", every=True)) == []
