@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from ordersight.llm.store import with_package  # noqa: E402
+from ordersight.llm.store import stored, with_package  # noqa: E402
 
-#: The broadcast table holds at most FREQUENT pieces of at most SHORT characters: under 2 MB.
+#: The broadcast table holds at most FREQUENT pieces of at most SHORT characters, under 2 MB.
 FREQUENT = 16_384
 SHORT = 32
 #: Of each task's pieces, this many are counted at once and FREQUENT are handed on.
@@ -97,28 +97,36 @@ def counter(path: str) -> PieceCounter:
 
 
 def _common_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces that a task meets most often. Beyond COUNTED, the rarer ones start anew."""
+    """The pieces that a task meets most often, and under NULL how many it met.
+
+    Beyond COUNTED different ones, the rarer ones start anew.
+    """
     counts: Counter[str] = Counter()
+    total = 0
     for batch in batches:
         for value in batch.column(0):
-            counts.update((value.as_py() or "").split())
+            pieces = (value.as_py() or "").split()
+            total += len(pieces)
+            counts.update(pieces)
             if len(counts) > COUNTED:
                 counts = Counter(dict(counts.most_common(FREQUENT)))
     best = [(p, n) for p, n in counts.most_common(FREQUENT) if len(p) <= SHORT]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())],
+        [pa.array([None, *(p for p, _ in best)], pa.string()), pa.array([total, *(n for _, n in best)], pa.int64())],
         ["piece", "n"],
     )
 
 
 def frequent_pieces(docs: DataFrame) -> list[str]:
-    """The most frequent pieces of all texts. Which they are only matters for speed.
+    """Pieces that are at least one in FREQUENT of all pieces of all texts: FREQUENT at most.
 
-    A task hands on at most FREQUENT pieces and FREQUENT come back, so neither grows with the texts.
+    A task hands on at most FREQUENT pieces, so what is shuffled grows with the tasks and not with their texts.
+    Which pieces these are only matters for speed.
     """
-    counted = docs.select("text").mapInArrow(_common_pieces, "piece string, n bigint")
-    best = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
-    return [row.piece for row in best.select("piece").collect()]
+    counted = stored(docs.select("text").mapInArrow(_common_pieces, "piece string, n bigint"), "frequent-pieces")
+    total = counted.filter(F.col("piece").isNull()).agg(F.sum("n")).first()[0] or 0
+    sums = counted.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.sum("n").alias("n"))
+    return [row.piece for row in sums.filter(F.col("n") * FREQUENT >= total).select("piece").collect()]
 
 
 class Frequent:
