@@ -16,71 +16,73 @@ def _decimal(number: int | Decimal) -> Column:
     return F.lit(Decimal(number))
 
 
-def _exactly(value: Column, precision: int, scale: int) -> Column:
-    """``value`` as DECIMAL(precision, scale); an error where it has no room or finer digits.
+def _lossless(value: Column, precision: int, scale: int) -> Column:
+    """Whether DECIMAL(precision, scale) holds ``value`` with all its digits; TRUE for NULL.
 
-    Digits are finer if they leave a remainder of the last place. Doubles have to be equal
+    Digits are finer than the last place if they leave a remainder of it. Doubles have to be equal
     to the decimal they become.
     """
-    kind = f"decimal({precision},{scale})"
-    cut = value.try_cast(kind)
-    floating = F.typeof(value).isin("double", "float")
-    whole = F.when(floating, cut.cast("double") == value.cast("double")).otherwise(
-        value % _decimal(Decimal(1).scaleb(-scale)) == F.lit(0)
-    )
-    lossless = value.isNull() | (cut.isNotNull() & whole)
-    return F.when(lossless, cut).otherwise(F.raise_error(F.lit(f"a sum does not fit {kind}")))
+    cut = value.try_cast(f"decimal({precision},{scale})")
+    same = F.when(
+        F.typeof(value).isin("double", "float"), cut.cast("double") == value.cast("double")
+    ).otherwise(value % _decimal(Decimal(1).scaleb(-scale)) == F.lit(0))
+    return value.isNull() | (cut.isNotNull() & same)
 
 
-def _times(number: Column, divisor: Column, rest: Column) -> Column:
-    """How often ``divisor`` goes into ``number``, of which ``rest`` remains: an exact quotient."""
-    return (number - rest) / divisor
+def _checked(lossless: Column, value: Column) -> Column:
+    return F.when(lossless, value).otherwise(
+        F.raise_error(F.lit("a sum does not fit: too large or too many decimals"))
+    )
 
 
 def _ratio(numerator: Column, denominator: Column, places: int) -> Column:
-    """Quotient of two numbers that are not negative, rounded half up: long division, digit by digit."""
+    """Quotient of two decimals with six places, rounded half away from zero: long division in two steps.
+
+    The expression is written out wherever it is used, so it is kept short.
+    """
+    unit = _decimal(Decimal(1).scaleb(-places))
     rest = numerator % denominator
-    quotient = _times(numerator, denominator, rest).cast("decimal(32,0)")
-    for place in range(1, places + 1):
-        tenfold = rest * _decimal(10)
-        rest = tenfold % denominator
-        digit = _times(tenfold, denominator, rest).cast("decimal(1,0)")
-        quotient = quotient + digit * _decimal(Decimal(1).scaleb(-place))
-    up = F.when(rest * _decimal(2) >= denominator, _decimal(Decimal(1).scaleb(-places)))
-    return (quotient + F.coalesce(up, _decimal(0))).cast(f"decimal(38,{places})")
+    whole = ((numerator - rest) / denominator).cast("decimal(32,0)")
+    wide = rest * _decimal(10**places)
+    left = wide % denominator
+    steps = ((wide - left) / denominator).cast(f"decimal({places + 1},0)")
+    away = F.when((numerator < 0) == (denominator < 0), unit).otherwise(-unit)
+    up = F.when(F.abs(left) * _decimal(2) >= F.abs(denominator), away).otherwise(unit * F.lit(0))
+    return (whole + steps * unit + up).cast(f"decimal(38,{places})")
+
+
+def _ratio_of(numerator: Column, denominator: Column, places: int, times: int) -> Column:
+    num = numerator.cast("decimal(38,6)") * _decimal(times)
+    den = F.nullif(denominator.cast("decimal(38,6)"), _decimal(0))
+    fits = _lossless(numerator, 38 if times == 1 else 36, 6) & _lossless(denominator, 38, 6)
+    room = F.coalesce(F.abs(denominator) < _decimal(10 ** (32 - places)), F.lit(True))
+    return _checked(fits & room, _ratio(num, den, places))
 
 
 def exact_ratio(numerator: Column, denominator: Column, places: int) -> Column:
     """``numerator / denominator`` rounded to ``places``; NULL when the denominator is 0 or NULL.
 
     Both may be sums with up to six decimals; finer ones are an error. The quotient is found by long
-    division on decimals, so it is exact for sums up to 10**30.
+    division on decimals, so it is exact for numerators below 10**32 and denominators
+    below 10**(32 - places); larger ones are an error too.
     """
-    num = _exactly(numerator, 38, 6)
-    den = F.nullif(_exactly(denominator, 38, 6), _decimal(0))
-    size = _ratio(F.abs(num), F.abs(den), places)
-    return F.when((num < 0) != (den < 0), -size).otherwise(size)
+    return _ratio_of(numerator, denominator, places, 1)
 
 
 def percent(part: Column, whole: Column, places: int = 2) -> Column:
-    """``part`` as a percentage of ``whole``."""
-    return exact_ratio(_exactly(part, 36, 6) * _decimal(100), whole, places)
+    """``part`` as a percentage of ``whole``; exact for parts below 10**30."""
+    return _ratio_of(part, whole, places, 100)
 
 
 def per_count(total: Column, count: Column, places: int) -> Column:
     """``total`` for each of ``count`` rows, rounded; NULL for no rows.
 
-    ``total`` may have up to four decimals; more are an error. A decimal quotient keeps 16
-    places. A quotient that is no tie is further than that from one for fewer than 10**14 rows
-    (10**12 with four decimals), so rounding it again is exact, and cheaper than long
-    division, which takes over for totals from 10**22 and for more rows.
+    ``total`` may have up to four decimals and 22 digits before the point; more are an error. The decimal
+    quotient keeps 16 places. A quotient that is no tie is further than that from one for fewer than 10**14
+    rows (10**12 with four decimals), so rounding it again is exact, and cheaper than ``exact_ratio``.
     """
-    exact = _exactly(total, 38, 4)
     rows = F.nullif(count.cast("decimal(18,0)"), _decimal(0))
-    near = exact.try_cast("decimal(26,4)")
-    quick = F.round(near / rows, places)
-    fits = near.isNotNull() & (rows < F.lit(10**12))
-    return F.when(fits, quick).otherwise(exact_ratio(exact, rows, places))
+    return _checked(_lossless(total, 26, 4), F.round(total.cast("decimal(26,4)") / rows, places))
 
 
 def mean(value: Column, places: int) -> Column:
@@ -97,25 +99,20 @@ def wide_mean(value: Column, places: int) -> Column:
 
     Values may have up to 32 digits before and six after the point.
     """
-    exact = _exactly(value, 38, 6)
+    exact = _checked(_lossless(value, 38, 6), value.cast("decimal(38,6)"))
     left = exact % _decimal(_HIGH)
-    high = F.sum(_times(exact, _decimal(_HIGH), left).cast("decimal(18,0)"))
+    high = F.sum(((exact - left) / _decimal(_HIGH)).cast("decimal(18,0)"))
     low = F.sum(left)
-    count = F.count(value)
-    rows = F.nullif(count.cast("decimal(18,0)"), _decimal(0))
+    rows = F.nullif(F.count(value).cast("decimal(18,0)"), _decimal(0))
     high_left = high % rows
+    # Whole units of the mean, and what is left of the sum, between 0 and the rows; ties round away from zero.
     rest = high_left * _decimal(_HIGH) + low
-    # What is left after whole units, made positive, so that ties round away from zero.
-    units = F.floor(rest / rows)
-    fraction = (rest - units.cast("decimal(20,0)") * rows).cast("decimal(38,6)")
-    slips = F.when(fraction < 0, -1).when(fraction >= rows, 1).otherwise(0)
-    units = units.cast("decimal(20,0)") + slips.cast("decimal(1,0)")
-    fraction = (rest - units * rows).cast("decimal(38,6)")
-    whole = (_times(high, rows, high_left).cast("decimal(18,0)") * _decimal(_HIGH) + units).cast(
-        "decimal(33,0)"
-    )
+    rest_left = F.pmod(rest, rows)
+    whole = ((high - high_left) / rows).cast("decimal(18,0)") * _decimal(_HIGH) + (
+        (rest - rest_left) / rows
+    ).cast("decimal(20,0)")
     below = whole < 0
-    part = _ratio(F.when(below, rows - fraction).otherwise(fraction), rows, places)
+    part = _ratio(F.when(below, rows - rest_left).otherwise(rest_left).cast("decimal(38,6)"), rows, places)
     return F.when(below, whole + _decimal(1) - part).otherwise(whole + part).cast(f"decimal(38,{places})")
 
 

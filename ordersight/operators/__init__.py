@@ -25,7 +25,13 @@ from ordersight.operators.periods import (
     with_every_period,
     with_previous,
 )
-from ordersight.operators.ranking import global_rank, rank_table, top_k
+from ordersight.operators.ranking import (
+    cut_to_ranks,
+    global_rank,
+    rank_table,
+    top_k,
+    with_group_sizes,
+)
 from ordersight.operators.scoring import rating_spread, weighted_score
 from ordersight.operators.shares import conditional_rate, share_of_total, with_total
 
@@ -34,6 +40,7 @@ __all__ = [
     "conditional_rate",
     "conflicts",
     "count_members",
+    "cut_to_ranks",
     "distinct_in_periods",
     "frequency_segments",
     "global_rank",
@@ -57,6 +64,7 @@ __all__ = [
     "top_k",
     "weighted_score",
     "with_every_period",
+    "with_group_sizes",
     "with_previous",
     "with_total",
 ]

@@ -3,10 +3,11 @@
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions import bucketize, per_count, percent
+from ordersight.operators.branches import for_branches
 from ordersight.operators.shares import share_of_total, with_total
 
 
@@ -54,25 +55,25 @@ def reorder_gap(
 ) -> DataFrame:
     """First and second order date per key, the days between them, and the spend.
 
-    Rows are merged per key and day first, so a hot key arrives as at most one row for each
-    calendar day.
+    Rows are merged per key and day first, and of those only the first two days of a key are dealt
+    out for its dates: a rank limit that Spark applies before the shuffle as well as after it.
     """
-    days = facts.groupBy(key, day).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(amount).alias("_spend")
+    days = for_branches(
+        facts.groupBy(key, day).agg(F.count(F.lit(1)).alias("_rows"), F.sum(amount).alias("_spend"))
     )
-    firsts = days.groupBy(key).agg(
-        F.slice(F.sort_array(F.collect_list(day)), 1, 2).alias("_days"),
-        F.min_by("_rows", day).alias("_rows_on_first"),
-        F.sum("_spend").alias(spend),
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(day).asc_nulls_last()))
+    again = F.col(day).isNotNull() & ((F.col("_place") == 2) | (F.col("_rows") > 1))
+    firsts = days.withColumn("_place", place).filter(F.col("_place") <= 2).groupBy(key).agg(
+        F.min(day).alias("first_order_date"), F.min(F.when(again, F.col(day))).alias("_second")
     )
-    first = F.get("_days", F.lit(0))
-    second = F.when(F.col("_rows_on_first") > 1, first).otherwise(F.get("_days", F.lit(1)))
-    return firsts.select(
-        key,
-        first.alias("first_order_date"),
+    spends = days.groupBy(F.col(key).alias("_key")).agg(F.sum("_spend").alias(spend))
+    second = F.col("_second")
+    return spends.join(firsts, F.col("_key").eqNullSafe(F.col(key)), "left").select(
+        F.col("_key").alias(key),
+        "first_order_date",
         second.alias("second_order_date"),
         spend,
-        F.datediff(second, first).alias("days_to_reorder"),
+        F.datediff(second, F.col("first_order_date")).alias("days_to_reorder"),
     )
 
 

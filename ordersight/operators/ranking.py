@@ -73,6 +73,33 @@ def join_ranks(
     return df.join(renamed, match).select(*df.columns, name)
 
 
+def cut_to_ranks(df: DataFrame, ranks: DataFrame, by: str, *, descending: bool = True) -> DataFrame:
+    """Rows of ``df`` whose value is among ``ranks``, the best values of ``by`` over all rows.
+
+    The best values reach from the first to the last of them, so one row with the last cuts any frame that
+    holds ``by``: before its joins, without a shuffle by a column of few values.
+    """
+    last = F.min(by) if descending else F.max(by)
+    edge = ranks.agg(last.alias("_last"), F.max(F.col(by).isNull()).alias("_with_null"))
+    inside = F.col(by) >= F.col("_last") if descending else F.col(by) <= F.col("_last")
+    kept = F.when(F.col(by).isNull(), F.col("_with_null")).otherwise(inside)
+    return df.crossJoin(F.broadcast(edge)).filter(kept).select(*df.columns)
+
+
+def with_group_sizes(df: DataFrame, **sizes: str) -> DataFrame:
+    """Add ``name=column``: how many rows share the row's value of each column, NULL included.
+
+    Counted by aggregate and join, so that a value of very many rows is never in one task's window.
+    """
+    out = df
+    for name, column in sizes.items():
+        # NULL as a key of its own, in plain columns: the counts are dealt as the rows are.
+        keys = {"_none": F.col(column).isNull(), "_key": F.coalesce(F.col(column).cast("string"), F.lit(""))}
+        counts = df.select(*[e.alias(k) for k, e in keys.items()]).groupBy(*keys)
+        out = out.withColumns(keys).join(counts.agg(F.count(F.lit(1)).alias(name)), list(keys)).drop(*keys)
+    return out
+
+
 def top_k(
     df: DataFrame,
     by: str,

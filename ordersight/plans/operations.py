@@ -17,15 +17,16 @@ from ordersight.functions import (
 )
 from ordersight.operators import (
     conditional_rate,
+    cut_to_ranks,
     distinct_in_periods,
     rank_table,
     rating_spread,
     top_k,
     weighted_score,
+    with_group_sizes,
     with_total,
 )
 from ordersight.operators.branches import for_branches
-from ordersight.operators.ranking import join_ranks
 from ordersight.plans.common import (
     CANCELLED,
     CITY_ALIASES,
@@ -199,30 +200,26 @@ def unrated_by_agent(t: Tables) -> DataFrame:
 def slowest_orders(t: Tables, k: int = 10, nulls: str | None = None) -> DataFrame:
     """Delivered attempts of the slowest orders, with how often place and agent recur there.
 
-    Orders without minutes rank first unless ``nulls='last'``. Each fact is shuffled once: the
-    rank and the rows at the ranked minutes read the same exchanges, and so do the four
-    branches over those rows. Counting by aggregate and join rather than by window keeps a
-    city of many ties out of a single task.
+    Orders without minutes rank first unless ``nulls='last'``. The slowest minutes are found on orders weighted
+    by their attempts; as one row they cut the orders before these meet attempts and restaurants' names. The
+    rank and the rows read the same exchanges.
     """
     restaurants = t.restaurants.select("restaurant_id", "restaurant_name", "city_key")
-    attempts = for_branches(
+    orders = for_branches(
         delivered(t.orders)
         .select("order_id", "restaurant_id", "delivery_time_minutes")
         .join(restaurants, "restaurant_id")
-        .join(delivered_attempts(t.deliveries).select("order_id", "agent_id"), "order_id")
-    )
-    ranks = rank_table(attempts, "delivery_time_minutes", k, nulls=nulls)
-    slow = for_branches(
-        join_ranks(attempts, ranks, "delivery_time_minutes").repartition("order_id", "agent_id")
-    )
-    out = slow
-    for key, name in (
-        ("restaurant_id", "count_by_restaurant"),
-        ("agent_id", "count_by_agent"),
-        ("city_key", "count_by_city"),
-    ):
-        sizes = slow.groupBy(F.col(key).alias(f"_{key}")).agg(F.count(F.lit(1)).alias(name))
-        out = out.join(sizes, F.col(key).eqNullSafe(F.col(f"_{key}")))
+    )
+    attempts = delivered_attempts(t.deliveries).select("order_id", "agent_id")
+    timed = for_branches(orders.select("order_id", "delivery_time_minutes").join(attempts, "order_id"))
+    ranks = rank_table(timed, "delivery_time_minutes", k, nulls=nulls)
+    slow = cut_to_ranks(orders, ranks, "delivery_time_minutes").join(attempts, "order_id")
+    out = with_group_sizes(
+        for_branches(slow),
+        count_by_restaurant="restaurant_id",
+        count_by_agent="agent_id",
+        count_by_city="city_key",
+    )
     return out.select(
         "order_id",
         "restaurant_id",

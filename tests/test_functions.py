@@ -101,7 +101,7 @@ def test_exact_ratio_rounds_half_away_from_zero(spark, pairs):
     assert got == [None if d == 0 else rounded(n, d, 2) for n, d in pairs]
 
 
-WIDE = st.decimals(-(10**30), 10**30, places=6)
+WIDE = st.decimals(-(10**30) + 1, 10**30 - 1, places=6)
 
 
 @settings(max_examples=15, deadline=None)
@@ -109,20 +109,27 @@ WIDE = st.decimals(-(10**30), 10**30, places=6)
 def test_exact_ratio_of_sums_of_any_size(spark, pairs):
     pairs = pairs + [(n, rounded(Fraction(d) * Fraction(n), 10**40, 6)) for n, d in pairs]
     pairs = pairs + [(d, n) for n, d in pairs]
-    wanted = [None if d == 0 else rounded(n, d, 4) for n, d in pairs]
+    wanted = [None if d == 0 else rounded(n, d, 2) for n, d in pairs]
     fits = [i for i, w in enumerate(wanted) if w is None or abs(w) < 10**32]
     rows = [(i, *pairs[i]) for i in fits]
     df = spark.createDataFrame(rows, "i int, n decimal(38,6), d decimal(38,6)")
-    assert column(df, fn.exact_ratio(F.col("n"), F.col("d"), 4)) == [wanted[i] for i in fits]
+    assert column(df, fn.exact_ratio(F.col("n"), F.col("d"), 2)) == [wanted[i] for i in fits]
+    shares = fn.percent(F.col("n"), F.col("d"), 2)
+    fits = [i for i in fits if wanted[i] is None or abs(wanted[i]) < 10**29]
+    wide = column(df.filter(F.col("i").isin(fits)), shares)
+    assert wide == [None if pairs[i][1] == 0 else rounded(100 * Fraction(pairs[i][0]), pairs[i][1], 2) for i in fits]
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.decimals(-(10**30), 10**30, places=4), st.integers(0, 10**15)), min_size=1))
+@given(st.lists(st.tuples(st.decimals(-(10**22) + 1, 10**22 - 1, places=4), st.integers(0, 10**12)), min_size=1))
 def test_per_count_of_any_size(spark, pairs):
     rows = [(i, n, d) for i, (n, d) in enumerate(pairs)]
     df = spark.createDataFrame(rows, "i int, n decimal(38,4), d bigint")
     got = column(df, fn.per_count(F.col("n"), F.col("d"), 2))
     assert got == [None if d == 0 else rounded(n, d, 2) for n, d in pairs]
+    too_large = spark.createDataFrame([(Decimal(10**22),)], "n decimal(38,4)")
+    with pytest.raises(Exception, match="does not fit"):
+        too_large.select(fn.per_count(F.col("n"), F.lit(7), 2)).collect()
 
 
 @settings(max_examples=15, deadline=None)
@@ -153,6 +160,8 @@ def test_finer_digits_of_large_sums_are_not_dropped(spark):
     with pytest.raises(Exception, match="does not fit"):
         df.select(fn.per_count(F.col("v"), F.lit(1), 6)).collect()
     exact = df.select(fn.exact_ratio(F.col("v"), F.lit(1), 6)).first()[0]
+    with pytest.raises(Exception, match="does not fit"):
+        df.select(fn.exact_ratio(F.lit(1), F.lit(Decimal(10**31)), 2)).collect()
     assert exact == Decimal("123456789012345678.000049")
     halves = df.select(fn.exact_ratio(F.lit(0.1), F.lit(1), 1), fn.exact_ratio(F.lit(0.5), F.lit(2), 2))
     assert halves.first() == (Decimal("0.1"), Decimal("0.25"))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ordersight.operators import global_rank, rank_table, top_k
+from ordersight.operators import cut_to_ranks, global_rank, rank_table, top_k, with_group_sizes
 
 SCHEMA = "id int, g string, v decimal(10,2)"
 
@@ -116,3 +116,21 @@ def test_global_rank_across_partitions(spark, descending):
     else:
         want = reference_ranks([None if v is None else -v for v in vs], nulls_first=False)
     assert got == list(enumerate(want))
+
+
+@settings(max_examples=12, deadline=None)
+@given(
+    st.lists(st.none() | st.integers(0, 6), max_size=20), st.integers(1, 5), st.booleans(), st.booleans()
+)
+def test_a_cut_keeps_what_the_ranks_keep(spark, vs, k, descending, nulls_first):
+    df = frame(spark, *vs)
+    how = {"descending": descending, "nulls": "first" if nulls_first else "last"}
+    kept = cut_to_ranks(df, rank_table(df, "v", k, **how), "v", descending=descending)
+    assert sorted(r.id for r in kept.collect()) == sorted(r.id for r in top_k(df, "v", k, **how).collect())
+
+
+def test_group_sizes_count_null_and_empty_apart(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "a"), (5, None), (6, None)], "id int, g string")
+    rows = with_group_sizes(df, n="g", same="id").orderBy("id").collect()
+    assert [r.n for r in rows] == [2, 3, 1, 2, 3, 3] and all(r.same == 1 for r in rows)
+    assert df.columns + ["n", "same"] == rows[0].__fields__
