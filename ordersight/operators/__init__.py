@@ -32,7 +32,7 @@ from ordersight.operators.ranking import (
     top_k,
     with_group_sizes,
 )
-from ordersight.operators.scoring import rating_spread, weighted_score
+from ordersight.operators.scoring import linear_fit, rating_spread, weighted_score
 from ordersight.operators.shares import conditional_rate, share_of_total, with_total
 
 __all__ = [
@@ -47,6 +47,7 @@ __all__ = [
     "join_inflation",
     "label_variant_error",
     "lapsing",
+    "linear_fit",
     "member_bitmaps",
     "merge_bitmaps",
     "missing_from",

@@ -95,6 +95,19 @@ from fd_orders join fd_restaurants using (restaurant_id)
 where is_delivered and city_key = 'africa' group by 1"""
 
 
+def fit(rows: str) -> str:
+    """Slope and correlation over rows of whole numbers x and y; y counts in hundredths."""
+    return f"""
+with pairs as ({rows}),
+sums as (
+  select count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy
+  from pairs where x is not null and y is not null),
+spreads as (select n, n * sxx - sx * sx as xx, n * sxy - sx * sy as xy, n * syy - sy * sy as yy from sums)
+select n as pairs, {ratio("xy", "100 * xx", 4)} as slope,
+  (xy / 100::double) / nullif(sqrt(cast(xx as double)) * sqrt(yy / 10000::double), 0) as correlation
+from spreads"""
+
+
 SLOWEST = """
 with attempts as (
   select order_id, restaurant_id, restaurant_name, agent_id, city_key, minutes,
@@ -592,4 +605,40 @@ select (select count(*) from clv) as clv_customers, (select count(*) from top) a
     "d12_flagged_customers": f"""
 select *, cast(cancelled_orders * 100 // total_orders as bigint) as cancellation_rate_pct
 from ({ORDER_COUNTS}) where total_orders >= 3 and cancelled_orders * 100 > total_orders * 50""",
+    "d13_load_vs_rating_fit": fit(f"""
+  select count(order_id) as x, cast(round(100 * {ratio("sum(rating) filter (where not is_failed)",
+    "count(rating) filter (where not is_failed)", 2)}) as hugeint) as y
+  from fd_agents join fd_deliveries using (agent_id) group by agent_id"""),
+    "d14_speed_vs_rating_fit": fit(f"""
+  select any_value(minutes) as x, cast(round(100 * {AVG_RATING}) as hugeint) as y
+  from fd_orders join fd_deliveries using (order_id) where is_delivered group by order_id"""),
+    "d15_weekday_weekend_per_day": f"""
+select case when isodow(day) >= 6 then 'weekend' else 'weekday' end as day_type,
+  count(distinct day) as active_days, {ratio("count(*)", "count(distinct day)", 2)} as orders_per_day,
+  {ratio("sum(cents)", "100 * count(distinct day)", 2)} as revenue_per_day, {avg_money()} as avg_order_value
+from fd_orders where is_delivered and day is not null group by 1""",
+    "d16_missing_revenue_policies": f"""
+with places as (
+  select sum(cents) as cents, count(*) as n, count(cents) as priced,
+    cast(round(100 * {ratio("sum(cents)", "100 * count(cents)", 2)}) as hugeint) as average
+  from fd_orders group by restaurant_id),
+totals as (
+  select sum(cents) as cents, sum(n - priced) as missing, sum(n) as n, sum(priced) as priced,
+    coalesce(sum(n - priced) filter (where priced = 0), 0) as without, sum(average * (n - priced)) as added
+  from places)
+select {money("cents")} as known_revenue, cast(missing as bigint) as missing_orders,
+  {pct("missing", "n")} as missing_pct, cast(without as bigint) as orders_without_average,
+  {money("cents + added")} as revenue_at_restaurant_average,
+  {money(f"cents + missing * cast(round(100 * {ratio('cents', '100 * priced', 2)}) as hugeint)")}
+    as revenue_at_overall_average
+from totals""",
+    "d17_city_decline_by_restaurant": f"""
+with losses as (
+  select restaurant_id, restaurant_name, sum(case month when {JAN} then 1 else -1 end) as n,
+    coalesce(sum(case month when {JAN} then cents else -cents end), 0) as c
+  from fd_orders join fd_restaurants using (restaurant_id)
+  where is_delivered and city_key = 'africa' and month in ({JAN}, {FEB}) group by all)
+select restaurant_id, restaurant_name, cast(n as bigint) as order_loss, {pct("n", "sum(n) over ()")} as order_loss_pct,
+  {money("c")} as revenue_loss, {pct("c", "sum(c) over ()")} as revenue_loss_pct
+from losses""",
 }

@@ -204,3 +204,34 @@ def decline_concentration(
         "revenue_loss",
         percent(F.col("revenue_loss"), F.col("_revenue")).alias("revenue_loss_pct"),
     ).orderBy(F.col("order_loss").desc(), "region")
+
+
+def city_decline_by_restaurant(
+    t: Tables,
+    city: str = "chennai",
+    first: date = date(2024, 1, 1),
+    last: date = date(2024, 3, 1),
+) -> DataFrame:
+    """Each restaurant's part in a city's loss of orders and revenue between two months."""
+    months = delivered(t.orders).filter(F.col(MONTH).isin(first, last))
+    side = F.when(F.col(MONTH) == F.lit(first), 1).otherwise(-1)
+    per_restaurant = months.groupBy("restaurant_id").agg(
+        F.sum(side).alias("order_loss"),
+        F.coalesce(F.sum(F.col("order_amount") * side), F.lit(0)).alias("revenue_loss"),
+    )
+    losses = (
+        per_restaurant.join(_city_restaurants(t, city), "restaurant_id")
+        .groupBy("restaurant_id", "restaurant_name")
+        .agg(F.sum("order_loss").alias("order_loss"), F.sum("revenue_loss").alias("revenue_loss"))
+    )
+    totals = with_total(
+        losses, F.sum("order_loss").alias("_orders"), F.sum("revenue_loss").alias("_revenue")
+    )
+    return totals.select(
+        "restaurant_id",
+        "restaurant_name",
+        "order_loss",
+        percent(F.col("order_loss"), F.col("_orders")).alias("order_loss_pct"),
+        "revenue_loss",
+        percent(F.col("revenue_loss"), F.col("_revenue")).alias("revenue_loss_pct"),
+    ).orderBy(F.col("revenue_loss").desc(), "restaurant_id")

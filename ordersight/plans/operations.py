@@ -19,6 +19,7 @@ from ordersight.operators import (
     conditional_rate,
     cut_to_ranks,
     distinct_in_periods,
+    linear_fit,
     rank_table,
     rating_spread,
     top_k,
@@ -263,6 +264,20 @@ def load_vs_rating(t: Tables) -> DataFrame:
     )
 
 
+def load_vs_rating_fit(t: Tables) -> DataFrame:
+    """Whether busier agents are rated lower: slope and correlation over the agents of ``load_vs_rating``."""
+    return linear_fit(load_vs_rating(t), "delivery_count", "avg_rating")
+
+
+def speed_vs_rating_fit(t: Tables) -> DataFrame:
+    """Whether slower orders are rated lower: slope and correlation over delivered orders."""
+    ratings = ratings_by(t.deliveries, "order_id").select(
+        "order_id", per_count(F.col("rating_sum"), F.col("rated"), 2).alias("avg_rating")
+    )
+    timed = delivered(t.orders).select("order_id", "delivery_time_minutes").join(ratings, "order_id")
+    return linear_fit(timed, "delivery_time_minutes", "avg_rating")
+
+
 def zero_cancel_restaurants(t: Tables) -> DataFrame:
     return (
         t.orders.groupBy("restaurant_id")

@@ -99,6 +99,11 @@ ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "d10_clv_among_top_spenders": revenue.clv_among_top_spenders,
     "d11_least_consistent_agent": operations.most_consistent_agents,
     "d12_flagged_customers": customers.cancel_rate_min_orders,
+    "d13_load_vs_rating_fit": operations.load_vs_rating_fit,
+    "d14_speed_vs_rating_fit": operations.speed_vs_rating_fit,
+    "d15_weekday_weekend_per_day": revenue.weekday_weekend_per_day,
+    "d16_missing_revenue_policies": revenue.missing_revenue_policies,
+    "d17_city_decline_by_restaurant": business_review.city_decline_by_restaurant,
 }
 
 FIRST, SECOND, THIRD = date(1995, 1, 1), date(1995, 2, 1), date(1995, 3, 1)
@@ -136,6 +141,7 @@ STAR_PARAMETERS: dict[str, dict] = {
     "d7_monthly_leaderboard": {"monthly": True},
     "d11_least_consistent_agent": {"least": True},
     "d12_flagged_customers": {"above": 50},
+    "d17_city_decline_by_restaurant": {"city": CITY, "first": FIRST, "last": SECOND},
 }
 
 

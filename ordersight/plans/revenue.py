@@ -118,6 +118,18 @@ def weekday_weekend(t: Tables) -> DataFrame:
     )
 
 
+def weekday_weekend_per_day(t: Tables) -> DataFrame:
+    """Orders and revenue of an average active day, weekend against weekday: five days meet two."""
+    day_type = F.when(is_weekend(F.col("order_dt")), "weekend").otherwise("weekday")
+    daily = sales_by(delivered(t.orders).filter(F.col("order_dt").isNotNull()), "order_dt")
+    return daily.groupBy(day_type.alias("day_type")).agg(
+        F.count("order_dt").alias("active_days"),
+        per_count(F.sum("orders"), F.count("order_dt"), 2).alias("orders_per_day"),
+        per_count(F.sum("revenue"), F.count("order_dt"), 2).alias("revenue_per_day"),
+        per_count(F.sum("revenue"), F.sum("priced_orders"), 2).alias("avg_order_value"),
+    )
+
+
 def high_value_orders(t: Tables, threshold: int = 1000) -> DataFrame:
     """Delivered orders above a threshold per restaurant, and their share of all revenue."""
     high = F.col("order_amount") > threshold
@@ -263,6 +275,34 @@ def missing_revenue_exposure(t: Tables) -> DataFrame:
     return null_exposure(t.orders, ["restaurant_id"], "order_amount")
 
 
+def missing_revenue_policies(t: Tables) -> DataFrame:
+    """One row: revenue without the orders that have no amount, and with these at an average amount.
+
+    The average is that of the order's restaurant or of all orders, to the cent. Orders of restaurants
+    without any amount stay out of the first and are counted.
+    """
+    places = sales_by(t.orders, "restaurant_id")
+    missing = F.col("orders") - F.col("priced_orders")
+    average = per_count(F.col("revenue"), F.col("priced_orders"), 2)
+    totals = places.agg(
+        F.sum("revenue").alias("known_revenue"),
+        F.sum(missing).alias("missing_orders"),
+        F.sum(F.when(F.col("priced_orders") == 0, missing).otherwise(0)).alias("orders_without_average"),
+        F.sum("orders").alias("_orders"),
+        F.sum("priced_orders").alias("_priced"),
+        F.sum(average * missing).alias("_at_restaurant"),
+    )
+    overall = per_count(F.col("known_revenue"), F.col("_priced"), 2)
+    return totals.select(
+        "known_revenue",
+        "missing_orders",
+        percent(F.col("missing_orders"), F.col("_orders")).alias("missing_pct"),
+        "orders_without_average",
+        (F.col("known_revenue") + F.col("_at_restaurant")).alias("revenue_at_restaurant_average"),
+        (F.col("known_revenue") + overall * F.col("missing_orders")).alias("revenue_at_overall_average"),
+    )
+
+
 # Labels of the second and third month of a quarter.
 GROWTH_LABELS = ("jan-feb", "feb-march")
 
