@@ -104,13 +104,13 @@ class Automaton:
         self.first = self._first_words()
 
     def _moves(self, state: int, free: int) -> Iterator[tuple[int, int]]:
-        """Live states reachable without a word: ``(state, free words left)``."""
+        """Live states reachable without a word: ``(state, free words left)``; ``free`` below 0 is all of them."""
         while state < len(self.steps):
             kind, value = self.steps[state]
             if kind == "word":
                 break
             if kind == "skip":
-                yield from self._moves(value, 0)
+                yield from self._moves(value, -1)
                 state += 1
                 continue
             left = value if free < 0 else free

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -224,6 +226,50 @@ def test_templates_match_exact_wording_only():
         Automaton("x", "<<optional>>open")
 
 
+def test_free_words_after_an_optional_part():
+    a = Automaton("x", "grant <<optional>>foo<</optional>> <<any:2>> to users")
+    for text in ("grant foo x to users", "grant to users", "grant x to users", "grant x y to users", "grant foo to users"):
+        assert a.match(text.split(), 0) == len(text.split()), text
+    assert a.match("grant x y z to users".split(), 0) == -1
+
+
+def templates(draw, depth):
+    """Markup and the words it accepts as a regular expression over words that each end in a space."""
+    markup, pattern = [], []
+    for _ in range(draw.randint(1, 3)):
+        kind = draw.random()
+        if kind < 0.5 or (kind < 0.75 and not depth):
+            word = draw.choice("abc")
+            markup.append(word)
+            pattern.append(f"{word} ")
+        elif kind < 0.75:
+            inner, accepted = templates(draw, depth - 1)
+            markup.append(f"<<optional>>{inner}<</optional>>")
+            pattern.append(f"(?:{accepted})?")
+        else:
+            n = draw.randint(1, 2)
+            markup.append(f"<<any:{n}>>")
+            pattern.append(f"(?:[abc] ){{0,{n}}}")
+    return " ".join(markup), "".join(pattern)
+
+
+def test_automata_accept_what_their_markup_expands_to():
+    draw = random.Random(8)
+    texts = [list(x) for n in range(6) for x in itertools.product("abc", repeat=n)]
+    tried = 0
+    while tried < 60:
+        markup, pattern = templates(draw, 2)
+        try:
+            a = Automaton("x", "a " + markup)
+        except ValueError:
+            continue
+        tried += 1
+        accepted = re.compile("a " + pattern)
+        for words in texts:
+            ends = [n for n in range(1, len(words) + 1) if accepted.fullmatch("".join(f"{w} " for w in words[:n]))]
+            assert a.match(words, 0) == max(ends, default=-1), (markup, words)
+
+
 def test_license_scan(spark):
     rows = [
         (1, "Under the MIT-License. mit license", "a"),
