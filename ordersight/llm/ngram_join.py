@@ -22,7 +22,7 @@ document for the smallest id. Repeated rows give repeated results. An empty tabl
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ordersight.llm.components import components, in_blocks
 from ordersight.llm.shingles import differences, from_bytes, shingle_sets, signatures, to_bytes
-from ordersight.llm.store import same, stored, with_package
+from ordersight.llm.store import same, stored, unused, with_package
 
 SLICE = 4096
 CELLS = 64
@@ -444,16 +444,16 @@ def jaccard_groups(
         own.groupBy(F.col("_group").alias("_g")).agg(F.min("doc_id").alias("component_id")), "jaccard-least"
     )
     linked = own.join(least, F.col("_group") == F.col("_g")).select(
-        "doc_id", "n_shingles", "component_id", "text_hash"
+        "doc_id", "n_shingles", "component_id", "text_hash", F.col("_group").alias("group_key")
     )
+    none = F.lit(None).cast("long")
     alone = documents.filter("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash"
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", none.alias("group_key")
     )
-    none = F.lit(None).cast("long")
     nameless = (
         base.filter("id is null")
         .mapInArrow(partial(element_counts, width=width), "n_shingles bigint, text_hash bigint")
-        .select(none.alias("doc_id"), "n_shingles", none.alias("component_id"), "text_hash")
+        .select(none.alias("doc_id"), "n_shingles", none.alias("component_id"), "text_hash", none.alias("group_key"))
     )
     return linked.union(alone).union(nameless)
 
@@ -470,14 +470,25 @@ def element_counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
 def keep_one_of_each(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One row of each group: the document with the smallest id. Rows without an id all stay."""
-    groups = jaccard_groups(docs, id=id, text=text, width=width, percent=percent)
-    chosen = groups.filter("doc_id = component_id").select(
-        F.col("doc_id").alias("_chosen"), F.col("text_hash").alias("_chosen_hash")
-    ).groupBy("_chosen").agg(F.min("_chosen_hash").alias("_chosen_hash"))
+    """One row of each group: the document with the smallest id, of several texts of that id the one with
+    the smallest hash. Texts without shingles are in no group and stay, as rows without an id do; rows
+    that share an id with unrelated texts are told apart by their texts.
+    """
+    groups = jaccard_groups(docs, id=id, text=text, width=width, percent=percent).filter("doc_id is not null")
+    chosen = (
+        groups.filter("group_key is not null")
+        .groupBy("group_key")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        .select("first.*", F.lit(True).alias("one"))
+        .distinct()
+    )
+    alone = groups.filter("group_key is null").select("doc_id", "text_hash", F.lit(False).alias("one")).distinct()
+    picked = ("doc_id", "text_hash", "one")
+    key, mark, one = (unused(docs, f"picked_{c}") for c in picked)
+    stay = chosen.unionByName(alone).select(*[F.col(c).alias(n) for c, n in zip(picked, (key, mark, one))])
     kept = docs.join(
-        chosen,
-        same(docs[id].cast("long"), F.col("_chosen")) & (F.xxhash64(docs[text]) == F.col("_chosen_hash")),
-        "left_semi",
+        stay, same(docs[id].cast("long"), F.col(key)) & (F.xxhash64(docs[text]) == F.col(mark)), "inner"
     )
-    return kept.dropDuplicates([id]).unionByName(docs.filter(docs[id].isNull()))
+    once = kept.filter(F.col(one)).dropDuplicates([key, mark])
+    every = [once, kept.filter(~F.col(one)), docs.filter(docs[id].isNull())]
+    return reduce(DataFrame.unionByName, [df.select(*docs.columns) for df in every])

@@ -73,7 +73,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_groups(docs).drop("text_hash")
+    return jaccard_groups(docs).drop("text_hash", "group_key")
 
 
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,23 @@ def test_jaccard_groups(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(group.values()))
 
 
+def test_no_text_of_a_repeated_id_is_lost(spark):
+    rows = [
+        (1, small.words(40), "a"),
+        (1, small.words(40, start=500), "a"),  # unrelated
+        (1, small.words(41), "b"),  # near the first
+        (2, small.words(42), "a"),  # near the first
+        (3, "", "a"),
+        (3, None, "a"),
+        (3, "", "b"),
+        (None, small.words(40), "a"),
+    ]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in keep_one_of_each(small.table(spark, rows)).collect())
+    assert [d for d, _ in kept] == [0, 1, 1, 3, 3, 3]
+    texts = [t for d, t in kept if d == 1]
+    assert rows[1][1] in texts and len({rows[0][1], rows[2][1]} & set(texts)) == 1
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_groups(small.table(spark, [])).count() == 0
     assert keep_one_of_each(small.table(spark, [])).count() == 0
