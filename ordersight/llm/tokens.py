@@ -5,41 +5,74 @@ is cut there, and each distinct chunk is encoded once per worker and remembered.
 other white space is encoded in one piece. Either way the ids are those of the whole text.
 """
 
+import json
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core already
 
+import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMO_CHUNKS = 700_000
-LONG_CHUNK = 64
+#: What a worker may remember of chunks and words, in bytes.
+REMEMBERED = 250_000_000
+#: What an entry takes besides its text and ids.
+ENTRY = 200
 AT_ONCE = 4096
+#: Letters from here on are left to the library, whose tables of letters may be older.
+LATE_LETTERS = "　"
 
 
 def byte_letters() -> dict[int, str]:
-    """How a byte-level model spells each byte: printable Latin-1 as itself, the rest from 256 on."""
+    """How a byte-level model spells bytes that are not printable Latin-1: by letters from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in printable]
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a file holds plain byte-level merges of pieces cut by the usual pattern."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    cut, model = told.get("pre_tokenizer") or {}, told["model"]
+    return (
+        told.get("normalizer") is None
+        and cut.get("type") == "ByteLevel"
+        and cut.get("use_regex", True)
+        and not cut.get("add_prefix_space", True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and all(token.get("special") for token in told.get("added_tokens") or [])
+    )
+
+
 class Encoder:
     """``ids(texts)`` gives each text's ids as unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words come here once, so that remembering them twice only costs time
         self.spelling = byte_letters()
-        #: Ids by chunk; False for a chunk whose text has to be encoded whole.
-        self.memo: dict[str, bytes | bool] = {}
-        #: The same for words that begin a line, and for runs of full stops and commas.
+        self.chunked = cuts_at_spaces(path)
+        self.newline = next(self.encode(["\n"]))
+        self.forget()
+
+    def forget(self) -> None:
+        #: Ids by chunk, the space in front left out; none for a chunk whose text has to be encoded whole.
+        self.memo: dict[str, bytes] = {}
+        #: The same for words that begin a line, and for full stops and commas.
         self.first: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
-        self.newline = next(self.encode(["\n"]))
+        self.held = 0
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for begin in range(0, len(texts), AT_ONCE):
@@ -56,71 +89,86 @@ class Encoder:
             spelled = piece.encode().decode("latin-1").translate(self.spelling)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def tail(self, marks: str) -> bytes:
-        if marks not in self.tails:
-            self.tails[marks] = self.merge(marks)
-        return self.tails[marks]
-
-    def plain(self, chunk: str) -> bytes | None:
-        """Ids of letters followed by full stops or commas, after a space; None for anything else."""
-        word = chunk.rstrip(".,")
-        if not word.isalpha():
+    def word(self, chunk: str, space: str, known: dict[str, bytes]) -> bytes | None:
+        """Ids of letters with full stops or commas behind them, after ``space``; None for anything else."""
+        letters = chunk.rstrip(".,")
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < LATE_LETTERS):
             return None
-        ids = self.memo.get(word)
+        ids = known.get(letters)
         if ids is None:
-            ids = self.memo[word] = self.merge(" " + word)
-        return ids + self.tail(chunk[len(word) :])
-
-    def line_start(self, chunk: str) -> bytes | None:
-        word = chunk.rstrip(".,")
-        if not word.isalpha():
-            return None
-        if word not in self.first:
-            self.first[word] = self.merge(word)
-        return self.first[word] + self.tail(chunk[len(word) :])
+            ids = known[letters] = self.merge(space + letters)
+            self.held += ENTRY + len(letters) + len(ids)
+        if len(letters) == len(chunk):
+            return ids
+        marks = chunk[len(letters) :]
+        if marks not in self.tails:
+            self.tails[marks] = self.merge(marks)
+            self.held += ENTRY + len(marks) + len(self.tails[marks])
+        return ids + self.tails[marks]
 
-    def learn(self, chunks: set[str]) -> None:
-        other = []
+    def learn(self, chunks: Collection[str]) -> None:
+        """Ids of new chunks: words, two words with a line end between them, others by the library."""
+        other, memo = [], self.memo
         for chunk in chunks:
-            ids = self.plain(chunk)
-            if ids is None and chunk.count("\n") == 1:
-                before, after = map(lambda f, x: f(x), (self.plain, self.line_start), chunk.split("\n"))
-                ids = None if before is None or after is None else before + self.newline + after
+            ids = self.word(chunk, " ", memo)
+            if ids is None and "\n" in chunk:
+                before, _, after = chunk.partition("\n")
+                last, first = self.word(before, " ", memo), self.word(after, "", self.first)
+                ids = None if last is None or first is None else last + self.newline + first
             if ids is not None:
-                self.memo[chunk] = ids
+                memo[chunk] = ids
+                self.held += ENTRY + len(chunk) + len(ids)
             elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
                 other.append(chunk)
             else:
-                self.memo[chunk] = False
-        self.memo.update(zip(other, self.encode([" " + c for c in other])))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-            self.first.clear()
-            self.tails = {"": b""}
-        memo = self.memo
-        cut = [text.split(" ") for text in texts]
-        heads = [chunks.pop(0) for chunks in cut]
-        known = [list(map(memo.get, chunks)) for chunks in cut]
-        holes = [[i for i, x in enumerate(found) if x is None] if None in found else () for found in known]
-        new = {chunks[i] for chunks, at in zip(cut, holes) for i in at}
-        self.learn(new)
-        out, whole = [], []
-        for i, (head, first) in enumerate(zip(heads, self.encode(heads))):
-            found, chunks = known[i], cut[i]
-            for at in holes[i]:
-                found[at] = memo[chunks[at]]
-            if (found and head[-1:].isspace()) or False in found:
-                out.append(b"")
-                whole.append(i)
-            else:
-                out.append(first + b"".join(found))
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-            out[i] = ids
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del memo[c]
+                memo[chunk] = b""
+        for chunk, ids in zip(other, self.encode([" " + c for c in other])):
+            memo[chunk] = ids
+            self.held += ENTRY + len(chunk) + len(ids)
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        if not self.chunked:
+            return list(self.encode(texts if isinstance(texts, list) else texts.to_pylist()))
+        out: list[bytes] = []
+        for begin in range(0, len(texts), AT_ONCE):
+            if self.held > REMEMBERED:
+                self.forget()
+            out.extend(self.ids_of_batch(pa.array(texts[begin : begin + AT_ONCE], pa.large_string())))
+        return out
+
+    def ids_of_batch(self, texts: pa.Array) -> list[bytes]:
+        """Python only meets the different chunks of a batch; Arrow cuts the texts, numpy gathers the ids."""
+        cut = pc.split_pattern(texts, " ")
+        begins = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy().copy()
+        heads = [chunks[i] for i in at[begins[:-1]].tolist()]
+        # A text begins without a space, so its first chunk has ids of its own.
+        at[begins[:-1]] = np.arange(len(chunks), len(chunks) + len(texts))
+        ids = list(map(self.memo.get, chunks))
+        if None in ids:
+            holes = [i for i, x in enumerate(ids) if x is None]
+            self.learn([chunks[i] for i in holes])
+            for i in holes:
+                ids[i] = self.memo[chunks[i]]
+        ids.extend(self.encode(heads))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        odd = sizes == 0
+        odd[len(chunks) :] = [head[-1:].isspace() for head in heads]
+        odd[len(chunks) :] &= np.diff(begins) > 1
+        many = sizes[at]
+        ends = np.cumsum(many)
+        first = np.cumsum(sizes) - sizes
+        source = np.repeat(first[at] - (ends - many), many)
+        source += np.arange(len(source))
+        gathered = np.frombuffer(b"".join(ids), "<u4")[source].tobytes()
+        bounds = (4 * np.concatenate([[0], ends])[begins]).tolist()
+        whole = np.logical_or.reduceat(odd[at], begins[:-1]) if len(texts) else odd[:0]
+        out = [b"" if w else gathered[x:y] for w, x, y in zip(whole.tolist(), bounds, bounds[1:])]
+        again = np.flatnonzero(whole).tolist()
+        for i, found in zip(again, self.encode([texts[i].as_py() for i in again])):
+            out[i] = found
         return out
 
 
