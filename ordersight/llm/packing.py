@@ -22,11 +22,12 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.llm.store import stored, with_package
-from ordersight.llm.tokens import encoder
+from ordersight.llm.tokens import encoder, slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema(
@@ -52,11 +53,10 @@ def batch_pieces(
 ) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for begin in range(0, batch.num_rows, 512):
-            part = batch.slice(begin, 512)
-            texts = [t or "" for t in part.column("text").to_pylist()]
+        for part in slices(batch, "text"):
             rows = []
-            for doc_id, ids in zip(part.column("id").to_pylist(), encoder(tokenizer).ids(texts)):
+            found = encoder(tokenizer).ids(pc.fill_null(part.column("text"), ""))
+            for doc_id, ids in zip(part.column("id").to_pylist(), found):
                 ids = memoryview(ids + end)
                 for k, (start, size) in enumerate(cut(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + size)])

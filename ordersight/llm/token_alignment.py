@@ -9,7 +9,6 @@ and remembers it. A text's alignment is then put together from those of its chun
 """
 
 import hashlib
-import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -18,14 +17,13 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from ordersight.llm.store import stored, with_package
-from ordersight.llm.tokens import byte_letters
+from ordersight.llm.tokens import byte_level
 
 SPACE = "▁"
 #: What a worker may remember of chunks, in bytes.
@@ -41,38 +39,6 @@ PAIR = 1 << 16
 CUT = re.compile(rf"(?<=[^\s{SPACE}])(?=[ \n][^\s{SPACE}])")
 
 
-#: Fixed value: how a byte-level tokenizer cuts a text before it merges bytes.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_level(path: str) -> tiktoken.Encoding:
-    """The tokenizer of a byte-level JSON file, whose merges tiktoken runs faster than the library of the file.
-
-    That needs plain byte-level merges in the order of their ids; any other file is an error.
-    """
-    with open(path, encoding="utf-8") as file:
-        told = json.load(file)
-    odd = byte_letters()
-    letters = {odd.get(b, chr(b)): bytes([b]) for b in range(256)}
-    special = {t["content"] for t in told["added_tokens"]}
-    vocab = {s: i for s, i in told["model"]["vocab"].items() if s not in special}
-    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in told["model"]["merges"]]
-    cut = told["pre_tokenizer"] or {}
-    plain = (
-        told["normalizer"] is None
-        and cut.get("type") == "ByteLevel"
-        and cut.get("use_regex", True)
-        and not cut["add_prefix_space"]
-        and told["model"]["type"] == "BPE"
-        and not any(told["model"].get(k) for k in ("dropout", "end_of_word_suffix", "continuing_subword_prefix"))
-        and sorted(vocab, key=vocab.get)[len(letters) :] == merged
-    )
-    if not plain:
-        raise ValueError(f"{path} is no plain byte-level tokenizer")
-    ranks = {b"".join(map(letters.__getitem__, s)): i for s, i in vocab.items()}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 class Aligner:
     """Tokens of A and B for texts with a space put in front, cut into groups where both end."""
 

@@ -16,13 +16,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordersight.llm.simple8b import read_frame, write_frame
 from ordersight.llm.store import with_package
-from ordersight.llm.tokens import encoder
+from ordersight.llm.tokens import encoder, slices
 
 FILE = "shard int, place int, before bigint, n_ids bigint, frame binary"
 FILE_ARROW = pa.schema(
@@ -61,10 +62,9 @@ def write_frames(
         )
 
     for batch in batches:
-        for begin in range(0, batch.num_rows, 512):
-            part = batch.slice(begin, 512)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for doc_id, ids in zip(part.column("id").to_pylist(), encoder(tokenizer).ids(texts)):
+        for part in slices(batch, "text"):
+            found = encoder(tokenizer).ids(pc.fill_null(part.column("text"), ""))
+            for doc_id, ids in zip(part.column("id").to_pylist(), found):
                 doc_ids.append(doc_id)
                 pieces.append(ids + end)
                 held += len(ids) // 4 + 1

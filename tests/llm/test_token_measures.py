@@ -24,8 +24,7 @@ from ordersight.llm.filter_audit import (
 )
 from ordersight.llm.oracles import FILTER_AUDIT
 from ordersight.llm.queries import QUERIES
-from ordersight.llm.token_alignment import byte_level
-from ordersight.llm.tokens import byte_letters
+from ordersight.llm.tokens import byte_letters, byte_level
 
 SF = "/root/testdata/sf0.001"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
