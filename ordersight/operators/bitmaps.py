@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 
 def member_bitmaps(facts: DataFrame, keys: Sequence[str], identifier: str) -> DataFrame:
-    """``keys``, ``bucket`` and ``members``: which identifiers occur. NULL is none."""
-    known = facts.filter(F.col(identifier).isNotNull())
+    """``keys``, ``bucket`` and ``members``: which identifiers occur. NULL is none; its bitmap is empty."""
     bucket = F.bitmap_bucket_number(identifier).alias("bucket")
     members = F.bitmap_construct_agg(F.bitmap_bit_position(F.col(identifier)))
-    return known.groupBy(*keys, bucket).agg(members.alias("members"))
+    return facts.groupBy(*keys, bucket).agg(members.alias("members"))
 
 
 def merge_bitmaps(bitmaps: DataFrame, keys: Sequence) -> DataFrame:
@@ -24,7 +23,7 @@ def merge_bitmaps(bitmaps: DataFrame, keys: Sequence) -> DataFrame:
 
 
 def count_members(bitmaps: DataFrame, keys: Sequence, name: str = "members") -> DataFrame:
-    """Distinct identifiers per key, for keys as fine as those of ``bitmaps`` or coarser."""
+    """Distinct identifiers per key, for keys as fine as those of ``bitmaps`` or coarser; keys without any are left out."""
     merged = merge_bitmaps(bitmaps, [F.col(k) if isinstance(k, str) else k for k in keys])
     names = [c for c in merged.columns if c not in ("bucket", "members")]
-    return merged.groupBy(*names).agg(F.sum(F.bitmap_count("members")).alias(name))
+    return merged.groupBy(*names).agg(F.sum(F.bitmap_count("members")).alias(name)).filter(F.col(name) > 0)

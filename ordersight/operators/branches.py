@@ -10,6 +10,6 @@ def for_branches(df: DataFrame) -> DataFrame:
     Column pruning would give each branch its own, slightly narrower aggregate and so its own
     scan and shuffle of the facts. The condition holds for every row; it only mentions all
     columns, so that the branches plan the same aggregate and reuse its exchange. Use it on
-    aggregates, not on raw rows.
+    aggregates, and on raw rows only where all branches need nearly all of their columns.
     """
     return df.filter(F.hash(*df.columns) >= F.lit(-(2**31)))

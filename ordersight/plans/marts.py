@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ordersight.functions import per_count, period_of
 from ordersight.operators import count_members, member_bitmaps
+from ordersight.operators.branches import for_branches
 from ordersight.plans.common import delivered, merge_sales, sales_by
 from ordersight.sources.tables import Tables, overwrite_months
 
@@ -25,13 +26,16 @@ class Marts:
     active: DataFrame
 
 
-def build_marts(t: Tables) -> Marts:
-    """Marts of the delivered orders; an unknown restaurant's city is NULL, as an unknown day is."""
+def build_marts(t: Tables, city: str | None = None) -> Marts:
+    """Marts of the delivered orders, of all or of one city; an unknown restaurant's city is NULL, as an
+    unknown day is."""
     cities = t.restaurants.select("restaurant_id", "city_key")
+    if city is not None:
+        cities = cities.filter(F.col("city_key") == city)
     orders = delivered(t.orders).select(
         MONTH, "order_dt", "restaurant_id", "customer_id", "order_id", "order_amount"
     )
-    placed = orders.join(cities, "restaurant_id", "left")
+    placed = for_branches(orders.join(cities, "restaurant_id", "left" if city is None else "inner"))  # joined once for both
     return Marts(sales_by(placed, *KEYS), member_bitmaps(placed, KEYS, "customer_id"))
 
 
@@ -76,10 +80,8 @@ def regional_kpis_of_marts(t: Tables, grain: str = "quarter") -> DataFrame:
 
 def city_frequency_of_marts(t: Tables, city: str = "chennai", grain: str = "month") -> DataFrame:
     """Active customers, orders and orders per customer of one restaurant city."""
-    marts = build_marts(t)
-    of_city = [m.filter(F.col("city_key") == city) for m in (marts.sales, marts.active)]
     return (
-        kpis_from_marts(Marts(*of_city), grain)
+        kpis_from_marts(build_marts(t, city), grain)
         .select(
             "period",
             "active_customers",
