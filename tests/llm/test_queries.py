@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def database():
     db = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "labels"):
         db.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return db
 
