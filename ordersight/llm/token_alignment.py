@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from ordersight.llm.store import stored, with_package
-from ordersight.llm.tokens import byte_level
+from ordersight.llm.tokens import byte_level, slices
 
 SPACE = "▁"
-#: What a worker may remember of chunks, in bytes.
-REMEMBERED = 250_000_000
-AT_ONCE = 2048
+#: What a worker may remember of chunks, in bytes; up to twice that while it learns more.
+REMEMBERED = 100_000_000
+#: Texts, and bytes of them, that are aligned at once. A link takes some hundred bytes meanwhile.
+AT_ONCE = 512
+TEXT_BYTES = 2_000_000
 #: Chunks that are encoded as one text.
 TOGETHER = 256
 #: Id pairs in one broadcast block of 13 bytes each.
@@ -172,10 +174,9 @@ class Aligner:
         found = list(map(self.groups.__getitem__, at))
         at = np.array(at, np.int64)
         begins = np.cumsum(lengths) - lengths
-        sizes = np.frombuffer(self.sizes, np.int32).reshape(-1, 5).astype(np.int64)
-        spelled = sizes[:, 4] == 1
-        fine = np.logical_and.reduceat(spelled[at], begins)
-        totals = np.add.reduceat(sizes[at, :4], begins, axis=0) * fine[:, None]
+        sizes = np.frombuffer(self.sizes, np.int32).reshape(-1, 5)[at].astype(np.int64)
+        fine = np.logical_and.reduceat(sizes[:, 4] == 1, begins)
+        totals = np.add.reduceat(sizes[:, :4], begins, axis=0) * fine[:, None]
         hashes = [
             hashlib.sha256(b"".join(found[x : x + many])[:-1]).hexdigest() if good else ""
             for x, many, good in zip(begins.tolist(), lengths.tolist(), fine)
@@ -227,8 +228,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     worker = aligner(path_a, path_b)
     for whole in batches:
-        for begin in range(0, whole.num_rows, AT_ONCE):
-            batch = whole.slice(begin, AT_ONCE)
+        for batch in slices(whole, "text", AT_ONCE, TEXT_BYTES):
             got = worker.align(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [

@@ -74,13 +74,15 @@ def byte_level(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most AT_ONCE texts and, unless a single text has more, TEXT_BYTES."""
+def slices(
+    batch: pa.RecordBatch, column: str, at_once: int = AT_ONCE, text_bytes: int = TEXT_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``at_once`` texts and, unless a single text has more, ``text_bytes``."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     begin, before = 0, 0
     while begin < batch.num_rows:
-        end = int(np.searchsorted(ends, before + TEXT_BYTES, "right"))
-        end = min(max(end, begin + 1), begin + AT_ONCE, batch.num_rows)
+        end = int(np.searchsorted(ends, before + text_bytes, "right"))
+        end = min(max(end, begin + 1), begin + at_once, batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin, before = end, ends[end - 1]
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -120,6 +121,19 @@ def test_alignment_of_no_documents(spark):
     assert [tuple(r)[1:] for r in nothing.collect()] == [(0,) * 6 + ("",)] * 2
 
 
+def test_long_texts_are_aligned_a_few_at_once(monkeypatch):
+    worker, sizes = token_alignment.aligner(A, B), []
+    align = worker.align
+    monkeypatch.setattr(worker, "align", lambda texts: sizes.append([len(t) for t in texts]) or align(texts))
+    texts = [f"{i} " + "words of a long text " * 20_000 for i in range(12)] + ["short"] * 1300
+    keys = [str(i).encode() for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "text_key": keys, "copies": [1] * len(texts)})
+    got = pa.Table.from_batches(token_alignment._align(iter([batch]), A, B))
+    assert got.column("text_key").to_pylist() == keys
+    assert max(map(sum, sizes)) <= token_alignment.TEXT_BYTES and max(map(len, sizes)) <= token_alignment.AT_ONCE
+    assert sum(map(len, sizes)) == len(texts)
+
+
 def test_aligner_remembers_chunks_without_changing_them():
     texts = [t for t in odd_texts(3000, seed=5) if t]
     worker = token_alignment.Aligner(A, B)
