@@ -14,6 +14,13 @@ RUNTIME_FILTERS = {
     "maxNumBits": "67108864",
 }
 
+#: Shuffles are cut finely and joined up to parts of 8 MB, so that their number grows with the facts. A
+#: task that sorts and groups 64 MB of compressed keys, Spark's default, needs gigabytes.
+PARTITIONS = {
+    "coalescePartitions.initialPartitionNum": "1000",
+    "advisoryPartitionSizeInBytes": "8m",
+}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Turn on the runtime re-planning the plans count on.
@@ -27,6 +34,8 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    for name, value in PARTITIONS.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
     for name, value in RUNTIME_FILTERS.items():
         spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{name}", value)
     return spark

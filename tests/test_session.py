@@ -1,6 +1,7 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from ordersight.session import ensure_checkpoint_dir, tune
 
@@ -45,3 +46,11 @@ def test_tune_switches_skew_handling_on(spark):
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
     tune(spark)
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+
+
+def test_tuned_shuffles_are_read_in_small_parts(spark):
+    """Also where the session has few shuffle partitions: what one task holds stays the same as facts grow."""
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    keys = spark.range(6_000_000).select(F.xxhash64("id").alias("k"))
+    groups = keys.groupBy("k").count().withColumn("part", F.spark_partition_id())
+    assert groups.select("part").distinct().count() > 4
