@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 
 def member_bitmaps(facts: DataFrame, keys: Sequence[str], identifier: str) -> DataFrame:
-    """``keys``, ``bucket`` and ``members``: which identifiers occur. NULL is none; its bitmap is empty."""
+    """``keys``, ``bucket`` and ``members``: which identifiers occur. NULL is none; its bitmap is empty.
+
+    Identifiers travel, not bitmaps of 4 KB that hold a few of them: a key's bitmap is built where all of its
+    rows are.
+    """
     bucket = F.bitmap_bucket_number(identifier).alias("bucket")
-    members = F.bitmap_construct_agg(F.bitmap_bit_position(F.col(identifier)))
-    return facts.groupBy(*keys, bucket).agg(members.alias("members"))
+    position = F.bitmap_bit_position(F.col(identifier)).alias("_position")
+    gathered = facts.select(*keys, bucket, position).repartition(*keys, "bucket")
+    return gathered.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("_position").alias("members"))
 
 
 def merge_bitmaps(bitmaps: DataFrame, keys: Sequence) -> DataFrame:

@@ -63,6 +63,16 @@ def test_bitmaps_count_like_sets(spark, rows):
     assert per_key == {k: len(ids) for k, ids in sets.items() if ids}
 
 
+def test_identifiers_are_gathered_before_bitmaps_are_made(spark, capsys):
+    """Bitmaps of 4 KB are neither shuffled nor sorted to build them."""
+    df = spark.createDataFrame([(1, 5), (1, 5), (2, None), (None, 7)], "k int, id bigint")
+    bitmaps = member_bitmaps(df, ["k"], "id")
+    bitmaps.explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("bitmap_construct_agg") < plan.index("Exchange") and plan.count("Exchange") == 1
+    assert sorted(values(bitmaps.select("k", F.bitmap_count("members"))), key=str) == [(1, 1), (2, 0), (None, 1)]
+
+
 def test_kpis_from_stored_marts(spark, tmp_path):
     t = tables(spark, orders=ORDERS)
     write_marts(build_marts(t), str(tmp_path))
