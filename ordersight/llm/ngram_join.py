@@ -1,7 +1,7 @@
 """Documents whose sets of word shingles overlap by a Jaccard similarity, as connected groups.
 
 1. One pass makes, for slices of documents, each distinct set's key, a small histogram of its
-   elements, and its PartEnum signatures (``shingles``), sent to buckets by hash. A bucket sorts what it got:
+   elements, and its PartEnum signatures (``shingles``), sent to buckets by hash. A bucket sorts what it got, a part of the signatures at a time:
    a signature that few sets share gives their pairs, one that many share names them as crowded.
 2. Pairs are dropped if sizes or histograms already prove more differences than allowed.
    Crowded sets (a passage or a large family of near copies) are paired by their prefixes instead: of two similar sets, the first
@@ -38,6 +38,7 @@ from ordersight.llm.store import same, stored, unused, with_package
 SLICE = 4096
 CELLS = 64
 FEW = 16  # sets of one signature whose pairs are listed
+PARTS = 16  # a bucket is sorted in that many parts, one after the other
 CHUNK = 128
 BAND = 1.12  # ratio of the sizes that stand in one band of a large cluster
 COMMON = 50_000  # elements that the prefix order knows as frequent; any number is right
@@ -68,64 +69,76 @@ def histogram(elements: np.ndarray, cells: int) -> bytes:
     return np.minimum(np.bincount(place, minlength=cells), 255).astype(np.uint8).tobytes()
 
 
-def send(
-    batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets: int
-) -> Iterator[pa.RecordBatch]:
-    """Signatures by bucket and the documents, for each slice of a partition."""
+class Slice:
+    """What a slice of documents sends. Parts of it are added one after the other, so that texts and sets go at once."""
+
+    def __init__(self, number: int):
+        self.number = number
+        self.documents: list[tuple[int, int, int, int, int]] = []  # id, hash of the text, size, key, place
+        self.place: dict[int, int] = {}
+        self.shown: list[bytes] = []
+        self.sigs: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
 
-    def flush(slice_: int, ids: list, hashes: list, texts: list) -> pa.RecordBatch:
-        sets = shingle_sets(texts, width)
-        keys = [set_key(s) for s in sets]
-        place: dict[int, int] = {}
-        sigs, owners, shown = [], [], []
-        for key, elements in zip(keys, sets):
-            if key in place:
+    def add(self, ids: list, hashes: list, texts: list, width: int, percent: int) -> None:
+        for id_, hash_, elements in zip(ids, hashes, shingle_sets(texts, width)):
+            key = set_key(elements)
+            place = self.place.setdefault(key, len(self.place))
+            self.documents.append((id_, hash_, len(elements), key, place))
+            if place < len(self.shown):
                 continue
-            shown.append(histogram(elements, fine_cells(len(elements))))
-            place[key] = len(place)
+            self.shown.append(histogram(elements, fine_cells(len(elements))))
             if len(elements):
                 own = signatures(elements, percent)
-                sigs.append(own)
-                owners.append(np.full(len(own), place[key], np.uint16))
-        documents = {
-            "doc_id": np.array(ids, np.int64),
-            "text_hash": np.array(hashes, np.int64),
-            "n_shingles": np.array([len(s) for s in sets], np.int64),
-            "key": np.array(keys, np.int64),
-            "place": np.array([place[k] for k in keys], np.int64),
-        }
-        table = b"".join(v.astype("<i8").tobytes() for v in documents.values())
-        rows = [(DOC_ROWS + slice_, slice_, zlib.compress(b"".join(shown), 1), table)]
-        if sigs:
-            sig, owner = np.concatenate(sigs), np.concatenate(owners)
+                self.sigs.append(own)
+                self.owners.append(np.full(len(own), place, np.uint16))
+
+    def rows(self, buckets: int) -> pa.RecordBatch:
+        table = np.array(self.documents, "<i8").T.tobytes()
+        rows = [(DOC_ROWS + self.number, self.number, zlib.compress(b"".join(self.shown), 1), table)]
+        if self.sigs:
+            sig, owner = np.concatenate(self.sigs), np.concatenate(self.owners)
+            self.sigs, self.owners = [], []
             bucket = (sig >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             sig, owner, bucket = sig[order], owner[order], bucket[order]
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             low = sig.astype("<u8").view("u1").reshape(-1, 8)[:, :6]
             rows += [
-                (int(bucket[x]), slice_, low[x:y].tobytes(), owner[x:y].astype("<u2").tobytes())
+                (int(bucket[x]), self.number, low[x:y].tobytes(), owner[x:y].astype("<u2").tobytes())
                 for x, y in zip(cuts, cuts[1:])
             ]
         return pa.RecordBatch.from_arrays(
             [pa.array(v, f.type) for v, f in zip(zip(*rows), SENT_ARROW)], schema=SENT_ARROW
         )
 
-    held: list[list] = [[], [], []]
-    current = None
+
+def send(
+    batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets: int
+) -> Iterator[pa.RecordBatch]:
+    """Signatures by bucket and the documents, for each slice of a partition."""
+    held = None
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             some = batch.slice(begin, 512)
-            columns = [some.column(c).to_pylist() for c in ("slice", "id", "text_hash", "text")]
-            for slice_, *row in zip(*columns):
-                if slice_ != current and held[0]:
-                    yield flush(current, *held)
-                    held = [[], [], []]
-                current = slice_
-                for part, value in zip(held, row):
-                    part.append(value)
-    if held[0]:
-        yield flush(current, *held)
+            number = some.column("slice").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for x, y in zip(cuts, cuts[1:]):
+                if held is None or held.number != number[x]:
+                    if held is not None:
+                        yield held.rows(buckets)
+                    held = Slice(int(number[x]))
+                part = some.slice(x, y - x)
+                held.add(*[part.column(c).to_pylist() for c in ("id", "text_hash", "text")], width, percent)
+    if held is not None:
+        yield held.rows(buckets)
+
+
+def distinct_pairs(found: np.ndarray) -> np.ndarray:
+    order = np.lexsort((found[:, 1], found[:, 0]))
+    found = found[order]
+    fresh = np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])[: len(found)]
+    return found[fresh]
 
 
 def pairs_of(starts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -140,10 +153,24 @@ def pairs_of(starts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> np.nda
         return np.zeros((0, 2), np.int64)
     found = np.concatenate(out)
     found.sort(axis=1)
-    order = np.lexsort((found[:, 1], found[:, 0]))
-    found = found[order]
-    fresh = np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])
-    return found[fresh]
+    return distinct_pairs(found)
+
+
+def shared(sent: pd.DataFrame, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and crowded sets by the signatures of a bucket whose lowest byte is ``part`` modulo ``PARTS``."""
+    sigs, nodes = [], []
+    for slice_, low, places in zip(sent["slice"], sent["sigs"], sent["places"]):
+        six = np.frombuffer(low, "u1").reshape(-1, 6)
+        own = np.flatnonzero(six[:, 0] % PARTS == part)
+        sigs.append(from_bytes(six[own].tobytes()))
+        nodes.append(np.frombuffer(places, "<u2")[own].astype(np.int64) + slice_ * SLICE)
+    sig, node = np.concatenate(sigs), np.concatenate(nodes)
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
+    sizes = np.diff(np.concatenate([starts, [len(sig)]]))
+    few = (sizes > 1) & (sizes <= FEW)
+    return pairs_of(starts[few], sizes[few], node), np.unique(node[np.repeat(sizes > FEW, sizes)])
 
 
 def meet(sent: pd.DataFrame) -> pd.DataFrame:
@@ -166,18 +193,9 @@ def meet(sent: pd.DataFrame) -> pd.DataFrame:
             | {"fine": [fine[p].tobytes() if o else b"" for p, o in zip(place.tolist(), once)]}
         )
         return out[names]
-    sigs, nodes = [], []
-    for slice_, low, places in zip(sent["slice"], sent["sigs"], sent["places"]):
-        sigs.append(from_bytes(low))
-        nodes.append(np.frombuffer(places, "<u2").astype(np.int64) + slice_ * SLICE)
-    sig, node = np.concatenate(sigs), np.concatenate(nodes)
-    order = np.argsort(sig, kind="stable")
-    sig, node = sig[order], node[order]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(sig)]]))
-    few = (sizes > 1) & (sizes <= FEW)
-    pairs = pairs_of(starts[few], sizes[few], node)
-    crowded = np.unique(node[np.repeat(sizes > FEW, sizes)])
+    found = [shared(sent, part) for part in range(PARTS)]  # one part's sorting fits where all would take much more
+    pairs = distinct_pairs(np.concatenate([p for p, _ in found]))
+    crowded = np.unique(np.concatenate([c for _, c in found]))
     out = pd.DataFrame(
         {
             "kind": np.repeat([PAIR, CROWDED], [len(pairs), len(crowded)]),

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ordersight.llm.store import stored, with_package
 from ordersight.llm.tokens import encoder, slices
 
+AT_ONCE = 1024  # texts that are encoded together
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema(
     [
@@ -52,8 +53,9 @@ def batch_pieces(
     batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int
 ) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], "<u4").tobytes()
+    rows: list = []
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", AT_ONCE):
             rows = []
             found = encoder(tokenizer).ids(pc.fill_null(part.column("text"), ""))
             for doc_id, ids in zip(part.column("id").to_pylist(), found):
@@ -64,6 +66,8 @@ def batch_pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, f.type) for v, f in zip(zip(*rows), PIECES_ARROW)], schema=PIECES_ARROW
             )
+    if rows:
+        encoder(tokenizer).forget()  # the worker lives on, and other operators need the room
 
 
 def token_pieces(

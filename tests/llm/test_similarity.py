@@ -1,12 +1,16 @@
 import random
+import tracemalloc
+from collections import defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 import docs as small
 from ordersight.llm.components import components
 from ordersight.llm.embed_dedup import embedding_links, hadamard
-from ordersight.llm.ngram_join import jaccard_groups, keep_one_of_each
+from ordersight.llm.ngram_join import FEW, PAIR, SLICE, jaccard_groups, keep_one_of_each, meet, send
 from ordersight.llm.shingles import from_bytes, similar, signatures, to_bytes
 
 
@@ -53,6 +57,45 @@ def test_element_bytes():
     assert (from_bytes(to_bytes(a)) == a >> np.uint64(16)).all()
 
 
+def test_a_bucket_needs_little_more_than_its_signatures():
+    rng = np.random.default_rng(8)
+    few, crowded = rng.integers(0, 2**48, (2, 60), dtype=np.uint64)
+    rows, held = [], defaultdict(set)
+    for number in (3, 7, *range(20, 38)):
+        own = np.unique(rng.integers(0, 2**48, 20_000, dtype=np.uint64))
+        own = np.concatenate([own, crowded, few if number < 30 else few[:0]])
+        places = rng.integers(0, SLICE, len(own)).astype("<u2")
+        rows.append((0, number, to_bytes(own << np.uint64(16)), places.tobytes()))
+        for sig, place in zip(own.tolist(), places.tolist()):
+            held[sig].add(number * SLICE + place)
+    sent = pd.DataFrame(rows, columns=["bucket", "slice", "sigs", "places"])
+    pairs = {(a, b) for nodes in held.values() if len(nodes) <= FEW for a in nodes for b in nodes if a < b}
+    many = {a for nodes in held.values() if len(nodes) > FEW for a in nodes}
+    tracemalloc.start()
+    got = meet(sent)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    paired = got["kind"] == PAIR
+    found = list(zip(got["a"][paired], got["b"][paired]))
+    assert len(found) == len(pairs) and set(found) == pairs
+    assert sorted(got["a"][~paired]) == sorted(many)
+    assert peak < 4 * sum(len(r[2]) + len(r[3]) for r in rows)
+
+
+def test_slices_do_not_depend_on_batches():
+    texts = [small.words(20 + i % 50, start=i % 700) if i % 9 else None for i in range(SLICE + 1500)]
+    ids = list(range(len(texts)))
+    table = pa.RecordBatch.from_pydict({"slice": [i // SLICE for i in ids], "id": ids, "text_hash": ids, "text": texts})
+    cuts = [0, 0, 700, 3000, 5000, len(texts)]
+    parts = [table.slice(x, y - x) for x, y in zip(cuts, cuts[1:])]
+    tracemalloc.start()
+    found = [row for b in send(iter(parts), 5, 80, 3) for row in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [row for b in send(iter([table]), 5, 80, 3) for row in b.to_pylist()]
+    assert peak < 5 * sum(len(row["sigs"] + row["places"]) for row in found)
+
+
 def shingles(text, width=5):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())

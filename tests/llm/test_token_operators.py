@@ -3,17 +3,18 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import docs as small
-from ordersight.llm.packing import best_fit_decreasing, bins_needed, cut, pack_pieces, token_pieces
+from ordersight.llm.packing import batch_pieces, best_fit_decreasing, bins_needed, cut, pack_pieces, token_pieces
 from ordersight.llm.simple8b import read_frame, write_frame
 from ordersight.llm.store import scratch_path
 from ordersight.llm.token_files import read_token_files, write_token_files
-from ordersight.llm.tokens import Encoder
+from ordersight.llm.tokens import Encoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = [" ", "  ", "\n", "a", "the", "é", "!", "'s", "\t", "x" * 70, "<|endoftext|>", "12", "　", "\x1c", "word", "日本", ".", ","]
@@ -33,6 +34,15 @@ def test_remembered_chunks_change_no_ids(texts):
     assert encoder.ids(texts) == list(encoder.encode(texts))
 
 
+def test_packing_leaves_nothing_remembered(library):
+    texts = [small.words(30, start=i) if i % 7 else None for i in range(2500)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    found = [row for b in batch_pieces(iter([batch, batch[:0]]), PATH, 0, 2048) for row in b.to_pylist()]
+    assert [(r["doc_id"], r["length"]) for r in found] == [(i, len(library(t))) for i, t in enumerate(texts)]
+    assert not encoder(PATH).memo and not encoder(PATH).held
+    assert list(batch_pieces(iter([]), PATH, 0, 2048)) == []
+
+
 @settings(max_examples=100, deadline=None)
 @given(
     st.lists(
