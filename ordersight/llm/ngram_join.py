@@ -2,14 +2,17 @@
 
 1. One pass makes, for slices of documents, each distinct set's key, a small histogram of its
    elements, and its PartEnum signatures (``shingles``), sent to buckets by hash. A bucket sorts what it got, a part of the signatures at a time:
-   a signature that few sets share gives their pairs, one that many share names them as crowded.
+   a signature that few sets share gives them as a group, one that many share names them as crowded. Copies
+   share all their signatures, so every bucket finds their group anew; it is written packed, once a bucket.
+   Equal groups of all buckets come together by their first set, and only then become pairs.
 2. Pairs are dropped if sizes or histograms already prove more differences than allowed.
    Crowded sets (a passage or a large family of near copies) are paired by their prefixes instead: of two similar sets, the first
    elements in any common order, size - ceil(similarity * size) + 1 of them, have one in common;
-   the order puts frequent elements last. Sets with a prefix element in common are joined in a star.
+   the order puts frequent elements last. Where many sets have a prefix element in common, their histograms travel to
+   blocks and are compared there; a block returns a row per set that could be linked, not a row per pair.
 3. What is connected so far is a cluster of candidates. Every set travels once to its cluster, or a few
    times to blocks of it if it is large (only blocks of like sizes meet), and its similarity to the others is computed exactly. A
-   block returns a row per linked set, not a row per pair. Elements are 48-bit hashes here.
+   block returns a row per linked set, too. Elements are 48-bit hashes here, made anew from the text when its blocks are known.
 4. Components of these links are the groups.
 
 No step loses a pair: signatures and prefixes are complete, histograms only drop what is
@@ -21,7 +24,7 @@ document for the smallest id. Repeated rows give repeated results. An empty tabl
 """
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -32,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.llm.components import components, in_blocks
-from ordersight.llm.shingles import differences, from_bytes, shingle_sets, signatures, to_bytes
-from ordersight.llm.store import same, stored, unused, with_package
+from ordersight.llm.shingles import differences, from_bytes, mix, shingle_sets, signatures, to_bytes
+from ordersight.llm.store import forget, same, stored, unused, with_package
 
 SLICE = 4096
 CELLS = 64
 FEW = 16  # sets of one signature whose pairs are listed
 PARTS = 16  # a bucket is sorted in that many parts, one after the other
+PART_SEED = 303  # of the hash that deals groups to parts
 CHUNK = 128
+WIDE = 512  # the same for histograms, which are short
 BAND = 1.12  # ratio of the sizes that stand in one band of a large cluster
 COMMON = 50_000  # elements that the prefix order knows as frequent; any number is right
 
@@ -134,30 +139,67 @@ def send(
         yield held.rows(buckets)
 
 
-def distinct_pairs(found: np.ndarray) -> np.ndarray:
-    order = np.lexsort((found[:, 1], found[:, 0]))
+def distinct_rows(found: np.ndarray) -> np.ndarray:
+    order = np.lexsort(found.T[::-1])
     found = found[order]
     fresh = np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])[: len(found)]
     return found[fresh]
 
 
-def pairs_of(starts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """All pairs within runs of ``nodes``, run sizes being small, as rows without repeats."""
+def groups_of(starts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> dict[int, np.ndarray]:
+    """The distinct sets of nodes that runs of ``nodes`` are, as rows by their size, run sizes being small."""
+    return {
+        int(size): distinct_rows(np.sort(nodes[starts[sizes == size][:, None] + np.arange(size)], axis=1))
+        for size in np.unique(sizes)
+    }
+
+
+def together(found: Iterable[dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    by_size: dict[int, list[np.ndarray]] = {}
+    for groups in found:
+        for size, rows in groups.items():
+            by_size.setdefault(size, []).append(rows)
+    return {size: distinct_rows(np.concatenate(rows)) for size, rows in by_size.items()}
+
+
+def pairs_of(groups: dict[int, np.ndarray]) -> np.ndarray:
+    """All pairs within the groups, as rows without repeats."""
+    out = [rows[:, [i, j]] for size, rows in groups.items() for i in range(size) for j in range(i + 1, size)]
+    return distinct_rows(np.concatenate(out)) if out else np.zeros((0, 2), np.int64)
+
+
+def packed(groups: dict[int, np.ndarray]) -> bytes:
+    """Groups of sorted nodes in few bytes: for each size, how many, and the columns of their differences."""
     out = []
-    for size in np.unique(sizes):
-        members = nodes[starts[sizes == size][:, None] + np.arange(size)]
-        for i in range(size):
-            for j in range(i + 1, size):
-                out.append(np.stack([members[:, i], members[:, j]], axis=1))
-    if not out:
-        return np.zeros((0, 2), np.int64)
-    found = np.concatenate(out)
-    found.sort(axis=1)
-    return distinct_pairs(found)
-
-
-def shared(sent: pd.DataFrame, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs and crowded sets by the signatures of a bucket whose lowest byte is ``part`` modulo ``PARTS``."""
+    for size, rows in groups.items():
+        out += [np.array([size, len(rows)]), np.diff(rows, axis=1, prepend=0).T.ravel()]
+    return zlib.compress(np.concatenate(out).astype("<i8").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> dict[int, np.ndarray]:
+    found, groups, at = np.frombuffer(zlib.decompress(data), "<i8"), {}, 0
+    while at < len(found):
+        size, n = found[at : at + 2].tolist()
+        groups[size] = np.cumsum(found[at + 2 : at + 2 + size * n].reshape(size, n), axis=0).T
+        at += 2 + size * n
+    return groups
+
+
+def dealt(groups: dict[int, np.ndarray], parts: int, seed: int) -> Iterator[tuple[int, dict[int, np.ndarray]]]:
+    """The groups by a hash of their first node: a number below ``parts``, and those that have it."""
+    of = {size: (mix(rows[:, 0].astype(np.uint64), seed) % np.uint64(parts)).astype(np.int64) for size, rows in groups.items()}
+    order = {size: np.argsort(part, kind="stable") for size, part in of.items()}
+    for part in np.unique(np.concatenate([*of.values()])).tolist() if of else []:
+        some = {}
+        for size, rows in groups.items():
+            x, y = np.searchsorted(of[size], [part, part + 1], sorter=order[size])
+            if x < y:
+                some[size] = rows[order[size][x:y]]
+        yield part, some
+
+
+def shared(sent: pd.DataFrame, part: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Groups and crowded sets by the signatures of a bucket whose lowest byte is ``part`` modulo ``PARTS``."""
     sigs, nodes = [], []
     for slice_, low, places in zip(sent["slice"], sent["sigs"], sent["places"]):
         six = np.frombuffer(low, "u1").reshape(-1, 6)
@@ -170,11 +212,12 @@ def shared(sent: pd.DataFrame, part: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
     sizes = np.diff(np.concatenate([starts, [len(sig)]]))
     few = (sizes > 1) & (sizes <= FEW)
-    return pairs_of(starts[few], sizes[few], node), np.unique(node[np.repeat(sizes > FEW, sizes)])
+    return groups_of(starts[few], sizes[few], node), np.unique(node[np.repeat(sizes > FEW, sizes)])
 
 
-def meet(sent: pd.DataFrame) -> pd.DataFrame:
-    """Pairs and crowded sets of a bucket, or the documents of a slice."""
+def meet(sent: pd.DataFrame, parts: int = 0) -> pd.DataFrame:
+    """Pairs and crowded sets of a bucket, or the documents of a slice. With ``parts``, a row has all groups of
+    sets that go to one part, ``a``, for their pairs, or all crowded sets of one slice, ``a``."""
     names = [c.split()[0] for c in FOUND.split(", ")]
     if sent["bucket"].iloc[0] >= DOC_ROWS:
         slice_ = int(sent["slice"].iloc[0])
@@ -194,22 +237,34 @@ def meet(sent: pd.DataFrame) -> pd.DataFrame:
         )
         return out[names]
     found = [shared(sent, part) for part in range(PARTS)]  # one part's sorting fits where all would take much more
-    pairs = distinct_pairs(np.concatenate([p for p, _ in found]))
+    groups = together(g for g, _ in found)
     crowded = np.unique(np.concatenate([c for _, c in found]))
-    out = pd.DataFrame(
-        {
-            "kind": np.repeat([PAIR, CROWDED], [len(pairs), len(crowded)]),
-            "a": np.concatenate([pairs[:, 0], crowded]),
-            "b": np.concatenate([pairs[:, 1], np.zeros(len(crowded), np.int64)]),
-            "doc_id": 0,
-            "text_hash": 0,
-            "n_shingles": 0,
-            "key": 0,
-            "sketch": None,
-            "fine": None,
-        }
-    )
-    return out[names]
+    if parts:
+        rows = [(PAIR, part, 0, packed(some)) for part, some in dealt(groups, parts, PART_SEED)]
+        slices, starts = np.unique(crowded // SLICE, return_index=True)
+        places = np.split((crowded % SLICE).astype("<u2"), starts[1:])
+        rows += [(CROWDED, slice_, 0, own.tobytes()) for slice_, own in zip(slices.tolist(), places)]
+    else:
+        rows = [(PAIR, a, b, None) for a, b in pairs_of(groups).tolist()]
+        rows += [(CROWDED, a, 0, None) for a in crowded.tolist()]
+    out = pd.DataFrame(rows, columns=["kind", "a", "b", "sketch"])
+    return out.assign(doc_id=0, text_hash=0, n_shingles=0, key=0, fine=None)[names]
+
+
+def part_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of the groups that all buckets sent to a part, some of the groups at a time."""
+    some: list[list[dict[int, np.ndarray]]] = [[] for _ in range(PARTS)]
+    for data in rows["sketch"]:
+        for number, groups in dealt(unpacked(data), PARTS, PART_SEED + 1):
+            some[number].append(groups)
+    pairs = np.concatenate([pairs_of(together(groups)) for groups in some])
+    return pd.DataFrame(pairs, columns=["x", "y"])
+
+
+def crowded_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sets of a slice that some bucket calls crowded."""
+    places = np.unique(np.concatenate([np.frombuffer(x, "<u2") for x in rows["sketch"]]))
+    return pd.DataFrame({"x": places.astype(np.int64) + int(rows["a"].iloc[0]) * SLICE})
 
 
 def folded(counts: np.ndarray, cells: int) -> np.ndarray:
@@ -237,24 +292,26 @@ def close_enough(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.D
 def element_sets(
     batches: Iterator[pa.RecordBatch], width: int
 ) -> Iterator[pa.RecordBatch]:
+    """``key, elements`` of every text, and its other columns."""
     for batch in batches:
+        others = [c for c in batch.schema.names if c != "text"]
         for begin in range(0, batch.num_rows, 512):
             part = batch.slice(begin, 512)
             sets = shingle_sets(part.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.int64()), part.column("crowded")]
-                + [pa.array([to_bytes(s) for s in sets], pa.binary())],
-                names=["key", "crowded", "elements"],
+                [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([to_bytes(s) for s in sets], pa.binary())]
+                + [part.column(c) for c in others],
+                names=["key", "elements", *others],
             )
 
 
 def run_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All pairs of each short list of keys."""
     for rows in batches:
-        lists = [np.sort(x) for x in rows["keys"]]
+        lists = list(rows["keys"])
         nodes = np.concatenate(lists) if lists else np.zeros(0, np.int64)
         sizes = np.array([len(x) for x in lists], np.int64)
-        yield pd.DataFrame(pairs_of(np.cumsum(sizes) - sizes, sizes, nodes), columns=["a", "b"])
+        yield pd.DataFrame(pairs_of(groups_of(np.cumsum(sizes) - sizes, sizes, nodes)), columns=["a", "b"])
 
 
 def often(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -291,6 +348,41 @@ def prefixes(
         )
 
 
+def block_candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``a, b``: every set of the block whose histogram lets it be like another's, with the smallest of those it is connected to."""
+    keys, cell, n = rows["key"].to_numpy(), rows["cell"].to_numpy(), rows["n"].to_numpy()
+    shapes = [np.frombuffer(x, np.uint8) for x in rows["fine"]]
+    cells = np.array([len(x) for x in shapes])
+    widths = np.unique(cells).tolist()
+    # Whatever has more cells is folded once for each smaller number of them.
+    at = {w: np.flatnonzero(cells >= w) for w in widths}
+    shown = {w: np.array([folded(shapes[i], w) for i in at[w].tolist()], np.int32) for w in widths}
+    across = rows["low"].iloc[0] != rows["high"].iloc[0]
+    cluster = np.arange(len(keys))
+    for i in range(len(keys)):
+        # Sets with as many cells or more are told at those of set i; those with fewer tell it when their turn comes.
+        others = at[cells[i]]
+        ok = cluster[others] != cluster[i]
+        ok &= 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+        if across:
+            ok &= cell[others] != cell[i]
+        if not ok.any():
+            continue
+        left, right = folded(shapes[i], cells[i]), shown[cells[i]][ok]
+        proven = np.where((left < 255) & (right < 255), np.abs(left - right), 0).sum(axis=1)
+        linked = others[ok][proven <= differences(n[others[ok]] + n[i], 0, percent)]
+        old = np.unique(cluster[np.append(linked, i)])
+        if len(old) > 1:
+            cluster[np.isin(cluster, old)] = old[0]
+    return smallest(keys, cluster)
+
+
+def smallest(keys: np.ndarray, cluster: np.ndarray) -> pd.DataFrame:
+    frame = pd.DataFrame({"a": keys, "cluster": cluster})
+    frame["b"] = frame.groupby("cluster")["a"].transform("min")
+    return frame.loc[frame["a"] != frame["b"], ["a", "b"]]
+
+
 def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """``a, b``: every set of the block that is linked, with the smallest of those it is connected to."""
     sets = [from_bytes(x) for x in rows["elements"]]
@@ -317,9 +409,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         old = np.unique(cluster[linked])
         if len(old) > 1:
             cluster[np.isin(cluster, old)] = old[0]
-    frame = pd.DataFrame({"a": keys, "cluster": cluster})
-    frame["b"] = frame.groupby("cluster")["a"].transform("min")
-    return frame.loc[frame["a"] != frame["b"], ["a", "b"]]
+    return smallest(keys, cluster)
 
 
 def jaccard_groups(
@@ -338,7 +428,7 @@ def jaccard_groups(
     found = stored(
         numbered.mapInArrow(partial(send, width=width, percent=percent, buckets=buckets), SENT)
         .groupBy("bucket")
-        .applyInPandas(lambda rows: meet(rows), FOUND),
+        .applyInPandas(lambda rows: meet(rows, buckets), FOUND),
         "jaccard-found",
     )
     documents = found.filter(F.col("kind") == DOC).drop("kind", "b")
@@ -349,7 +439,11 @@ def jaccard_groups(
     )
 
     pairs = (
-        found.filter(F.col("kind") == PAIR).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+        found.filter(F.col("kind") == PAIR)
+        .select("a", "sketch")
+        .groupBy("a")
+        .applyInPandas(lambda rows: part_pairs(rows), "x bigint, y bigint")
+        .distinct()
     )
     key_of = lambda name: nodes.select(F.col("a").alias(f"_{name}"), F.col("key").alias(name))
     keyed = pairs.join(key_of("a"), F.col("x") == F.col("_a")).join(key_of("b"), F.col("y") == F.col("_b"))
@@ -381,34 +475,24 @@ def jaccard_groups(
     possible = filtered(keyed.select("a", "b"), "jaccard-possible")
     crowded = (
         found.filter(F.col("kind") == CROWDED)
-        .select(F.col("a").alias("x"))
-        .distinct()
+        .select("a", "sketch")
+        .groupBy("a")
+        .applyInPandas(lambda rows: crowded_nodes(rows), "x bigint")
         .join(nodes.select("a", "key"), F.col("x") == F.col("a"))
-        .select("key", F.lit(True).alias("crowded"))
-    )
-    wanted = (
-        possible.select(F.col("a").alias("key"))
-        .union(possible.select("b"))
-        .select("key", F.lit(False).alias("crowded"))
-        .union(crowded)
-        .groupBy("key")
-        .agg(F.max("crowded").alias("crowded"))
-    )
-    # One document stands for each set that has to be looked at.
-    holders = (
-        documents.groupBy("key")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"))
-        .join(wanted, "key")
-        .select(F.col("holder.doc_id").alias("_id"), F.col("holder.text_hash").alias("_hash"), "crowded")
-    )
-    sets = stored(
-        known.join(holders, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-        .dropDuplicates(["id", "text_hash"])
-        .select("text", "crowded")
-        .mapInArrow(partial(element_sets, width=width), "key bigint, crowded boolean, elements binary"),
-        "jaccard-sets",
+        .select("key")
+        .distinct()
     )
-    dense = sets.filter("crowded").select("key", "elements")
+    # One document stands for each set.
+    holders = documents.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"))
+
+    def sets_of(wanted: DataFrame, columns: str) -> DataFrame:
+        """The elements of the sets in ``wanted (key, ...)``, whose other columns they take along."""
+        places = holders.join(wanted, "key").drop("key")
+        mark = (F.col("id") == F.col("holder.doc_id")) & (F.col("text_hash") == F.col("holder.text_hash"))
+        texts = known.join(places, mark).dropDuplicates(["id", "text_hash"]).drop("id", "text_hash", "holder")
+        return texts.mapInArrow(partial(element_sets, width=width), f"key bigint, elements binary{columns}")
+
+    dense = stored(sets_of(crowded, ""), "jaccard-sets")
     # Only an order of elements: a bounded list of the most frequent, the rest by hash.
     top = (
         dense.mapInArrow(partial(often, least=4), "element bigint, sets bigint")
@@ -427,6 +511,7 @@ def jaccard_groups(
         ),
         "jaccard-prefixes",
     )
+    forget(dense)
     centres = stored(
         first.groupBy(F.col("element").alias("_e"))
         .agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("sets"))
@@ -434,21 +519,35 @@ def jaccard_groups(
         "jaccard-centres",
     )
     met = first.join(centres, F.col("element") == F.col("_e"))
-    stars = met.filter(F.col("sets") > FEW).select(F.col("key").alias("a"), "b").filter("a <> b").distinct()
     short = met.filter(F.col("sets") <= FEW).groupBy("element").agg(F.collect_set("key").alias("keys"))
     likely = filtered(
         short.select("keys").distinct().mapInPandas(run_pairs, "a bigint, b bigint"), "jaccard-likely"
     )
-    clusters = components(possible.union(likely).union(stars))
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(BAND)).cast("int").alias("band")
+    reach = int(np.ceil(np.log(100 / percent) / np.log(BAND)))
+    stars = met.filter(F.col("sets") > FEW).select(F.col("b").alias("group"), F.col("key").alias("member")).distinct()
+    stars = stars.join(shapes.select("key", "n"), F.col("member") == F.col("key")).select("group", "member", band)
+    stars = stored(stars, "jaccard-stars")
+    forget(first)
+    like = stored(
+        in_blocks(stars, WIDE, reach)
+        .join(shapes.select("key", "n", "fine"), F.col("member") == F.col("key"))
+        .groupBy("group", "low", "high")
+        .applyInPandas(lambda rows: block_candidates(rows, percent), "a bigint, b bigint"),
+        "jaccard-like",
+    )
+    clusters = components(possible.union(likely).union(like))
     members = clusters.join(shapes, F.col("node") == F.col("key")).select(
-        F.col("component").alias("group"),
-        F.col("node").alias("member"),
-        F.floor(F.log(F.col("n").cast("double")) / np.log(BAND)).cast("int").alias("band"),
+        F.col("component").alias("group"), F.col("node").alias("member"), band
     )
-    reach = int(np.ceil(np.log(100 / percent) / np.log(BAND)))
+    block = "group", "low", "high", "cell"
+    placed = in_blocks(members, CHUNK, reach).groupBy(F.col("member").alias("key"))
+    placed = placed.agg(F.collect_list(F.struct(*block)).alias("blocks"))
+    columns = ", blocks array<struct<" + ",".join(f"{c}: bigint" for c in block) + ">>"
     links = (
-        in_blocks(members, CHUNK, reach)
-        .join(sets.select("key", "elements"), F.col("member") == F.col("key"))
+        sets_of(placed, columns)
+        .select("key", "elements", F.explode("blocks").alias("block"))
+        .select("key", "elements", "block.*")
         .groupBy("group", "low", "high")
         .applyInPandas(lambda rows: block_links(rows, percent), "a bigint, b bigint")
     )

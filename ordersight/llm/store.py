@@ -21,14 +21,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Off by default, Spark keeps the shuffle files of a finished query until the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet and read it from there, so that lost executors cost nothing."""
+    """Write ``df`` once as Parquet and read it from there, so that lost executors cost nothing; its shuffles go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, which nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        java = spark.sparkContext._jvm
+        folder = java.org.apache.hadoop.fs.Path(java.java.net.URI(files[0])).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` alone would change other letters too."""
     plain = F.length(text) == F.octet_length(text)

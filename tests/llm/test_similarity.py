@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 from collections import defaultdict
 
@@ -8,10 +9,12 @@ import pyarrow as pa
 import pytest
 
 import docs as small
+from ordersight.llm import ngram_join
 from ordersight.llm.components import components
 from ordersight.llm.embed_dedup import embedding_links, hadamard
 from ordersight.llm.ngram_join import FEW, PAIR, SLICE, jaccard_groups, keep_one_of_each, meet, send
 from ordersight.llm.shingles import from_bytes, similar, signatures, to_bytes
+from ordersight.llm.store import forget, stored
 
 
 def joined(nodes, linked):
@@ -200,3 +203,59 @@ def test_embedding_links(spark):
     for i, _, _ in bad:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, i is not None)
     assert embedding_links(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_copies_are_not_paired_anew_in_every_bucket(spark, monkeypatch):
+    rows = []
+    for family in range(10):
+        base = small.words(150, start=200 * family).split()
+        for copy in range(12):
+            rows.append((100 * family + copy, " ".join([*base, f"copy{copy}"]), "a"))
+    written = {}
+
+    def counted(df, name, real=ngram_join.stored):
+        out = real(df, name)
+        written.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "SLICE", 2)  # slices and buckets as in a much larger table
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = jaccard_groups(small.table(spark, rows).repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d // 100 * 100 for d, _, _ in rows}
+    assert written["jaccard-found"] < 10 * len(rows)
+
+
+def test_common_passages_do_not_chain_unlike_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    passages = [[f"p{i}w{j}" for j in range(40)] for i in range(12)]
+    rows = [(n, " ".join(sum(rng.sample(passages, 3), [])), "a") for n in range(200)]
+    sets = {d: shingles(t) for d, t, _ in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    clusters = []
+
+    def seen(edges, real=ngram_join.components):
+        clusters.append(defaultdict(list))
+        out = real(edges)
+        for r in out.collect():
+            clusters[-1][r.component].append(r.node)
+        return out
+
+    monkeypatch.setattr(ngram_join, "components", seen)
+    got = jaccard_groups(small.table(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == joined(list(sets), linked)
+    assert max(map(len, clusters[0].values()), default=1) < 20
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    df = spark.range(5000).repartition(5, "id").selectExpr("id", "uuid() AS u")
+    before = disk.getAllFiles().size()
+    table = stored(df, "shuffled")
+    until = time.time() + 20
+    while disk.getAllFiles().size() > before and time.time() < until:
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
+    assert table.count() == 5000
+    forget(table)
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(table.inputFiles()[0]).count()
