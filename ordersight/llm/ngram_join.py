@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ordersight.llm.components import components, in_blocks
 from ordersight.llm.shingles import differences, from_bytes, mix, shingle_sets, signatures, to_bytes
-from ordersight.llm.store import forget, same, stored, unused, with_package
+from ordersight.llm.store import forget, stored, unused, with_package
 
 SLICE = 4096
 CELLS = 64
@@ -603,9 +603,8 @@ def keep_one_of_each(
     picked = ("doc_id", "text_hash", "one")
     key, mark, one = (unused(docs, f"picked_{c}") for c in picked)
     stay = chosen.unionByName(alone).select(*[F.col(c).alias(n) for c, n in zip(picked, (key, mark, one))])
-    kept = docs.join(
-        stay, same(docs[id].cast("long"), F.col(key)) & (F.xxhash64(docs[text]) == F.col(mark)), "inner"
-    )
+    # Stored ids are not NULL, and rows come dealt by what they are told apart by: their texts travel once.
+    kept = docs.join(stay, (docs[id].cast("long") == F.col(key)) & (F.xxhash64(docs[text]) == F.col(mark)), "inner")
     once = kept.filter(F.col(one)).dropDuplicates([key, mark])
     every = [once, kept.filter(~F.col(one)), docs.filter(docs[id].isNull())]
     return reduce(DataFrame.unionByName, [df.select(*docs.columns) for df in every])
