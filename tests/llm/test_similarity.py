@@ -225,25 +225,27 @@ def test_copies_are_not_paired_anew_in_every_bucket(spark, monkeypatch):
     assert written["jaccard-found"] < 10 * len(rows)
 
 
-def test_common_passages_do_not_chain_unlike_texts(spark, monkeypatch):
-    rng = random.Random(12)
-    passages = [[f"p{i}w{j}" for j in range(40)] for i in range(12)]
-    rows = [(n, " ".join(sum(rng.sample(passages, 3), [])), "a") for n in range(200)]
-    sets = {d: shingles(t) for d, t, _ in rows}
-    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    clusters = []
-
-    def seen(edges, real=ngram_join.components):
-        clusters.append(defaultdict(list))
-        out = real(edges)
-        for r in out.collect():
-            clusters[-1][r.component].append(r.node)
-        return out
-
-    monkeypatch.setattr(ngram_join, "components", seen)
-    got = jaccard_groups(small.table(spark, rows)).collect()
-    assert {r.doc_id: r.component_id for r in got} == joined(list(sets), linked)
-    assert max(map(len, clusters[0].values()), default=1) < 20
+def test_a_common_passage_alone_makes_no_candidates():
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+    sets = []
+    for size in [20, 20, 300, 300, 300, 5000]:
+        passage = draw(size // 2)
+        for copies in (1, 1, 3):
+            base = np.concatenate([passage, draw(size - size // 2)])
+            for _ in range(copies):
+                own = np.concatenate([base[: size - size // 20], draw(size // 20)])
+                sets.append(np.unique(own))
+    rows = pd.DataFrame({"key": range(len(sets)), "n": [len(x) for x in sets], "cell": 0, "low": 0, "high": 0})
+    rows["fine"] = [ngram_join.histogram(x, ngram_join.fine_cells(len(x))) for x in sets]
+    got = ngram_join.block_candidates(rows, 80)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    linked = [p for p in pairs if similar(sets[p[0]], sets[p[1]], 80)]
+    assert linked
+    assert joined(range(len(sets)), got.itertuples(index=False)) == joined(range(len(sets)), linked)
+    across = ngram_join.block_candidates(rows.assign(cell=[i % 2 for i in range(len(sets))], high=1), 80)
+    apart = [(a, b) for a, b in linked if a % 2 != b % 2]
+    assert joined(range(len(sets)), across.itertuples(index=False)) == joined(range(len(sets)), apart)
 
 
 def test_stored_tables_leave_no_shuffle_files(spark):
